@@ -68,36 +68,70 @@ class Codes:
         """The upper confidence bound of the inner products of rows a with rows b."""
         return self.sign[a] @ self.rotated[b].T / self.f[a, None] + SIGMAS * self.error[a, None]
 
+    def upper_of(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The same of the pairs (i, j)."""
+        return np.einsum("ij,ij->i", self.sign[i], self.rotated[j]) / self.f[i] + SIGMAS * self.error[i]
+
+
+#: Cells of more rows are compared by blocks of a matrix product, others all together by pairs.
+_SMALL = 48
+
+
+def _candidates(codes: Codes, starts: np.ndarray, least: float):
+    """Pairs i < j within the cells that begin at `starts` (and one end) whose upper bound reaches `least`."""
+    sizes = np.diff(starts)
+    cell = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(cell)) - starts[cell]
+    more = np.where(sizes[cell] <= _SMALL, sizes[cell] - place - 1, 0)
+    total = np.concatenate(([0], np.cumsum(more)))
+    at = 0
+    while at < len(cell):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + 100_000, "right")) - 1)
+        i = np.repeat(np.arange(at, to), more[at:to])
+        j = np.arange(len(i)) - np.repeat(total[at:to] - total[at], more[at:to]) + i + 1
+        keep = codes.upper_of(i, j) >= least
+        yield i[keep], j[keep]
+        at = to
+    for a, b in ((starts[k], starts[k + 1]) for k in np.flatnonzero(sizes > _SMALL)):
+        for x in range(a, b, 256):
+            i, j = np.nonzero(codes.upper(slice(x, min(x + 256, b)), slice(x, b)) >= least)
+            keep = i < j
+            yield i[keep] + x, j[keep] + x
+
 
 def _cells(least: float):
     def run(batches):
         for b in batches:
-            for x in range(b.num_rows):
-                rows = b.column("rows")[x].values
-                rep, n = rows.field("rep").to_numpy(), rows.field("n").to_numpy()
-                chunk, table = rows.field("chunk").to_numpy(), b.column("t")[x].as_py()
-                keys = np.stack(rows.field("keys").to_numpy(zero_copy_only=False))
-                vec = np.stack(rows.field("vec").to_numpy(zero_copy_only=False)).astype(np.float64)
-                unit = vec / np.sqrt((vec**2).sum(1))[:, None]
-                codes, cross = Codes(unit), b.column("cross")[x].as_py()
-                pairs = []
-                links = np.zeros(len(rep), np.int64)
-                for a in range(0, len(rep), 256):
-                    i, j = np.nonzero(codes.upper(slice(a, a + 256), slice(a, None)) >= least)
-                    i, j = i + a, j + a
-                    keep = (i < j) & ((chunk[i] != chunk[j]) if cross else True)
-                    i, j = i[keep], j[keep]
-                    if table and len(i):  # a pair counts in the first table that has it
-                        keep = ~(keys[i, :table] == keys[j, :table]).any(1)
+            for x in range(0, b.num_rows, 1024):
+                part = b.slice(x, 1024)
+                lists = part.column("rows")
+                rows, size = lists.flatten(), lists.value_lengths().to_numpy()
+                rep, n, chunk = (rows.field(c).to_numpy() for c in ("rep", "n", "chunk"))
+                table, cross = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), size) for c in ("t", "cross"))
+                keys = rows.field("keys").flatten().to_numpy().reshape(-1, TABLES)
+                dims = rows.field("vec").value_lengths().to_numpy()
+                flat, ends = rows.field("vec").flatten().to_numpy(), np.concatenate(([0], np.cumsum(dims)))
+                firsts = np.concatenate(([0], np.cumsum(size)))
+                for dim in np.unique(dims):
+                    own = np.flatnonzero(dims == dim)
+                    vec = (flat if len(own) == len(dims) else np.concatenate([flat[ends[k] : ends[k + 1]] for k in own])).reshape(len(own), dim).astype(np.float64)
+                    norm = np.sqrt((vec**2).sum(1))
+                    starts = np.searchsorted(own, np.append(firsts[:-1][dims[firsts[:-1]] == dim], len(dims)))
+                    links, pairs = np.zeros(len(own), np.int64), []
+                    for i, j in _candidates(Codes(vec / norm[:, None]), starts, least):
+                        p, q = own[i], own[j]
+                        keep = ~cross[p] | (chunk[p] != chunk[q])
+                        same = keys[p] == keys[q]  # a pair counts in the first table that has it
+                        keep &= same.argmax(1) == table[p]
                         i, j = i[keep], j[keep]
-                    dot = np.einsum("ij,ij->i", vec[i], vec[j]) / (np.sqrt((vec[i] ** 2).sum(1)) * np.sqrt((vec[j] ** 2).sum(1)))
-                    i, j = i[dot >= least], j[dot >= least]
-                    links += np.bincount(i, n[j], len(rep)).astype(np.int64) + np.bincount(j, n[i], len(rep)).astype(np.int64)
-                    pairs.append((i, j))
-                own = np.flatnonzero(links)
-                if len(own):
-                    root = roots(len(rep), pairs)
-                    yield pa.record_batch([pa.array(rep[own]), pa.array(links[own]), pa.array(rep[root[own]])], names=["rep", "links", "root"])
+                        dot = np.einsum("ij,ij->i", vec[i], vec[j]) / (norm[i] * norm[j])
+                        i, j = i[dot >= least], j[dot >= least]
+                        links += np.bincount(i, n[own[j]], len(own)).astype(np.int64) + np.bincount(j, n[own[i]], len(own)).astype(np.int64)
+                        pairs.append((i, j))
+                    got = np.flatnonzero(links)
+                    if len(got):
+                        root = roots(len(own), pairs)
+                        yield pa.record_batch([pa.array(rep[own[got]]), pa.array(links[got]), pa.array(rep[own[root[got]]])], names=["rep", "links", "root"])
 
     return run
 
@@ -114,12 +148,12 @@ def near(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     return counts and star edges. Recall is measured against brute force in tests.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
-    nothing; vectors of unlike dimension don't link; repeated rows are copies; a null vec_id
-    takes part without naming a component; an empty table gives none; other columns are ignored.
+    nothing, nor does a row without vec_id; vectors of unlike dimension don't link; repeated
+    rows are copies; an empty table gives none; other columns are ignored.
     """
     ok = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)")
-    rows = vectors.select("vec_id", F.when(ok, F.col("embedding").cast("array<float>")).alias("vec"))
-    classes = rows.where("vec IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    rows = vectors.select("vec_id", F.when(ok & F.col("vec_id").isNotNull(), F.col("embedding").cast("array<float>")).alias("vec"))
+    classes = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     keyed = common.stage(classes.select("rep", "n", "vec").mapInArrow(_keys, "rep long, n long, vec array<float>, keys array<long>"), "vectors")
     spread = keyed.select("rep", "n", "vec", "keys", F.posexplode("keys").alias("t", "key"))
     many = keyed.select(F.explode("keys").alias("key")).groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
