@@ -68,8 +68,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished jobs that nothing refers to any more."""
+    """Let Spark delete shuffle files of finished jobs that nothing refers to any more.
+
+    Its cleaner goes by the JVM's garbage collection, which a roomy heap puts off; the second
+    round is for what Python's release of the first let go.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
