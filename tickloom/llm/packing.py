@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 from itertools import chain, filterfalse
 
 import numpy as np
@@ -89,9 +90,15 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, words)), self.kind) for words in split]
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One a worker process, so that later tasks there know the words of earlier ones."""
+    return Encoder(path)
+
+
 def _cut(path: str, window: int, end: int):
     def run(batches):
-        enc = Encoder(path)
+        enc = _encoder(path)
         for b in batches:
             at, lengths = 0, pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
             while at < b.num_rows:
