@@ -1 +1 @@
-
+"""Event streams: watermarked windows and per-series state."""
