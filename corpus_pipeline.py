@@ -31,8 +31,12 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix, in order: a row for each copy taken, and the first words of the document in service where a source's share ends."""
-    mix = mixing.in_order(mixing.schedule(docs, carry=("text", "lang")))
+    """The mix: a row for each copy taken, and the first words of the document in service where a source's share ends.
+
+    The schedule is cut at virtual time 1, where the budget is spent, so sorting it by that
+    time would change no row; packing doesn't look at order, and whole texts are not sorted.
+    """
+    mix = mixing.schedule(docs, carry=("text", "lang")).where("taken > 0")
     takes = F.concat(F.sequence(F.lit(1), F.col("copies").cast("int")), F.array(F.lit(0)))
     takes = F.filter(F.when(F.col("copies") > 0, takes).otherwise(F.array(F.lit(0))), lambda x: (x > 0) | (F.col("part") > 0))
     each = mix.withColumn("take", F.explode(takes))
