@@ -157,7 +157,7 @@ add("adjust_afternoon", lambda t: tables.adjust_afternoon(t("events").select("ev
 add("read_market_pair", lambda t: tables.melt_book(t("trades").select("seq", F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.col("price") + i * 0.01).alias("p"), F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.col("volume") * i).alias("v")), ["seq"], "p", "v").withColumn("price", r(F.col("price") + 1e-9, 4)),
     f"WITH {_TRADES} SELECT seq, i::INT AS number, round(price + i * 0.01 + 1e-9, 4) AS price, volume * i AS vol FROM trades, range(1, 11) g(i)")
 _LIFE = f"{_TRADES}, o AS (SELECT ask_order, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, sum(volume) AS volume, sum(turnover) AS turnover FROM trades GROUP BY ask_order)"
-add("analyze_long_orders", lambda t: microstructure.order_lifetimes(t("trades")).select("ask_order", "n", "volume", r("vwap", 4).alias("vwap"), "time_long"), f"WITH {_LIFE} SELECT ask_order, n, volume, round(turnover / volume, 4) AS vwap, last_ts > first_ts AS time_long FROM o")
+add("analyze_long_orders", lambda t: microstructure.order_lifetimes(t("trades")).select("ask_order", "n", "volume", r(F.col("vwap") + 1e-7, 4).alias("vwap"), "time_long"), f"WITH {_LIFE} SELECT ask_order, n, volume, round(turnover / volume + 1e-7, 4) AS vwap, last_ts > first_ts AS time_long FROM o")
 add("py_cross_section_example", lambda t: microstructure.cross_section(t("trades")).select("code", *[r(c).alias(c) for c in ("log_volume", "log_count", "vwap")]),
     f"WITH {_TRADES}, a AS (SELECT code, ln(sum(volume)) AS log_volume, ln(count(*)) AS log_count, sum(price * volume) / sum(volume) AS vwap FROM trades GROUP BY code) SELECT code, " + ", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END, 6) AS {c}" for c in ("log_volume", "log_count", "vwap")) + " FROM a")
 add("minute_bars", lambda t: microstructure.bars(t("events"), ["event_type"], "ts", "value", 3600, "event_id").withColumn("total", r("total", 4)), "SELECT event_type, (epoch_us(ts) // 3600000000 * 3600)::BIGINT AS bucket, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, round(sum(value), 4) AS total, count(value) AS n FROM events GROUP BY ALL")
