@@ -53,3 +53,37 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hours").selectExpr("sum(n)").first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_sequence_kernels():
+    r = np.random.default_rng(1)
+    x = np.abs(r.normal(size=40))
+    assert abs(kernels.max_range_product(x) - max(min(x[i], x[j]) * (j - i) for i in range(40) for j in range(i + 1, 40))) < 1e-12
+    assert kernels.max_range_product([]) == 0
+    assert kernels.kendall_tau([1, 2, 3], [3, 2, 1]) == -1 and kernels.kendall_tau([1, 1, 1], [1, 2, 3]) == 0
+    assert kernels.memory_length([0, 1] * 20, quantile=0.4) == 1 and kernels.memory_length([1, 1, 1]) == 10 and kernels.memory_length([]) == 10
+    assert kernels.memory_length([0, 0, 1, 1] * 20, quantile=0.4) == 2
+    assert kernels.string_proximity("aabb", "bbaa") == 1 and kernels.string_proximity("abcd", "badc") == 2
+    assert kernels.string_proximity("abcd", "abcd") == 0 and np.isnan(kernels.string_proximity("abcd", "abce"))
+
+
+def test_near_ids_across_blocks(spark):
+    from tickloom.operators import sequences
+
+    ids = [0, 1, 9, 10, 11, 19, 20, 25, 40]
+    got = sequences.id_neighbours(spark.createDataFrame([(i, float(i)) for i in ids], "k long, v double"), "k", "v", 5, block=10).collect()
+    want = {(i, sum(0 < abs(i - j) <= 5 for j in ids), float(sum(j for j in ids if 0 < abs(i - j) <= 5))) for i in ids}
+    assert {tuple(x) for x in got} == want and len(got) == len(ids)
+
+
+def test_flat_correlations(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import relational, sequences, statistics
+
+    df = spark.createDataFrame([(1, i, 2.0, float(i)) for i in range(4)] + [(2, i, float(i), -float(i)) for i in range(4)] + [(3, 0, 1.0, None)], "g long, i long, x double, y double")
+    assert {x.g: x["corr"] and round(x["corr"], 9) for x in statistics.corrwith(df, ["g"], "x", "y").collect()} == {1: None, 2: -1.0}
+    assert {x.g: round(x.trend, 9) for x in sequences.trend(df, ["g"], ["i"], "x").collect()} == {1: 0.0, 2: 1.0, 3: 0.0}
+    assert {x.g: x["corr"] and round(x["corr"], 9) for x in relational.rank_correlation(df.where("g < 3"), "g", "x", "y").collect()} == {1: None, 2: -1.0}
+    assert {x.corr_mean for x in sequences.rolling_correlation_mean(df, ["g"], ["i"], ["x", "y"], 3).where("g = 1").collect()} == {None}
+    assert sequences.runs_correlation(df.where("g = 1"), ["g"], ["i"], "x", "y", 2).count() == 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.moments import corr
+
 
 def order_lifetimes(trades: DataFrame, order: str = "ask_order") -> DataFrame:
     """By order: first and last time, trades, distinct times, volume, vwap; time_long where it trades at several times."""
@@ -31,7 +33,7 @@ def bars(df: DataFrame, by: list[str], ts: str, value: str, seconds: int, seq: s
 def series_stats(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     """By series: mean, std, max, min, range and lag-1 autocorrelation."""
     lagged = df.withColumn("_p", F.lag(value).over(Window.partitionBy(*by).orderBy(order)))
-    return lagged.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.max(value).alias("max"), F.min(value).alias("min"), (F.max(value) - F.min(value)).alias("range"), F.when((F.stddev_pop(F.when(F.col("_p").isNotNull(), F.col(value))) > 0) & (F.stddev_pop("_p") > 0), F.corr(value, "_p")).alias("autocorr1"))
+    return lagged.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.max(value).alias("max"), F.min(value).alias("min"), (F.max(value) - F.min(value)).alias("range"), F.when((F.stddev_pop(F.when(F.col("_p").isNotNull(), F.col(value))) > 0) & (F.stddev_pop("_p") > 0), corr(value, "_p")).alias("autocorr1"))
 
 
 def non_breakthrough(trades: DataFrame) -> DataFrame:

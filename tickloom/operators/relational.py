@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.moments import corr
+
 
 def merge(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", suffixes: tuple = ("_x", "_y")) -> DataFrame:
     """Equi-join; columns that both sides have besides the keys get suffixes."""
@@ -44,7 +46,7 @@ def rank_correlation(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     a = rank(df, [by], x).withColumnRenamed("rank", "_rx")
     b = rank(a, [by], y).withColumnRenamed("rank", "_ry")
     flat = (F.stddev_pop("_rx") == 0) | (F.stddev_pop("_ry") == 0) | (F.count("_rx") < 2)
-    return b.groupBy(by).agg(F.when(~flat, F.corr("_rx", "_ry")).alias("corr"))
+    return b.groupBy(by).agg(F.when(~flat, corr("_rx", "_ry")).alias("corr"))
 
 
 def rank_roll(df: DataFrame, date: str, code: str, value: str, days: int) -> DataFrame:
@@ -65,5 +67,5 @@ def backtest(df: DataFrame, date: str, factor: str, ret: str, groups: int = 5) -
     """By date: rank IC, and the return of the top group over the bottom one, groups by ceil(rank / n * groups)."""
     r = rank(rank(df, [date], factor).withColumnRenamed("rank", "_f"), [date], ret).withColumnRenamed("rank", "_r")
     g = r.withColumn("_g", F.ceil(F.col("_f") / F.count(factor).over(Window.partitionBy(date)) * groups))
-    out = g.groupBy(date).agg(F.count(factor).alias("n"), F.when((F.stddev_pop("_f") > 0) & (F.stddev_pop("_r") > 0), F.corr("_f", "_r")).alias("ic"), (F.avg(F.when(F.col("_g") == groups, F.col(ret))) - F.avg(F.when(F.col("_g") == 1, F.col(ret)))).alias("long_short"))
+    out = g.groupBy(date).agg(F.count(factor).alias("n"), F.when((F.stddev_pop("_f") > 0) & (F.stddev_pop("_r") > 0), corr("_f", "_r")).alias("ic"), (F.avg(F.when(F.col("_g") == groups, F.col(ret))) - F.avg(F.when(F.col("_g") == 1, F.col(ret)))).alias("long_short"))
     return out

@@ -7,18 +7,20 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.moments import corr
+
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairwise Pearson correlations, long: (a, b, corr). One pass: a sum row for all pairs, then melted."""
     pairs = list(combinations_with_replacement(columns, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
 def corrwith(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Pearson correlation by group over rows with both values; none where either is flat."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return ok.groupBy(*by).agg(F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias("corr"))
+    return ok.groupBy(*by).agg(F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), corr(x, y)).alias("corr"))
 
 
 def ols(df: DataFrame, by: list[str], y: str, x: str) -> DataFrame:

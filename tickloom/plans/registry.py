@@ -180,3 +180,5 @@ for _name in ("lz_complexity", "hurst", "irreversibility"):
 add("dtw_distance", lambda t: t("embeddings").withColumn("nxt", F.expr("lead(embedding) OVER (PARTITION BY label ORDER BY vec_id)")).select("vec_id", kernels.apply_pair(F.col("embedding"), F.col("nxt"), 8).alias("distance")))
 
 FLAGSHIP = QUERIES["get_features_factors"]
+
+from tickloom.plans import sequence_queries  # noqa: E402, F401  (adds its queries)
