@@ -86,4 +86,4 @@ def test_flat_correlations(spark):
     assert {x.g: round(x.trend, 9) for x in sequences.trend(df, ["g"], ["i"], "x").collect()} == {1: 0.0, 2: 1.0, 3: 0.0}
     assert {x.g: x["corr"] and round(x["corr"], 9) for x in relational.rank_correlation(df.where("g < 3"), "g", "x", "y").collect()} == {1: None, 2: -1.0}
     assert {x.corr_mean for x in sequences.rolling_correlation_mean(df, ["g"], ["i"], ["x", "y"], 3).where("g = 1").collect()} == {None}
-    assert sequences.runs_correlation(df.where("g = 1"), ["g"], ["i"], "x", "y", 2).count() == 1
+    assert sorted((x.above, x.n) for x in sequences.runs_correlation(df.where("g = 1"), ["g"], ["i"], "x", "y", 2).collect()) == [(False, 2), (True, 2)]
