@@ -34,15 +34,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each copy taken, and the first words of the document in service where a source's share ends.
 
     The schedule is cut at virtual time 1, where the budget is spent, so sorting it by that
-    time would change no row; packing doesn't look at order, and whole texts are not sorted.
+    time would change no row; packing doesn't look at order, and texts are neither sorted nor shuffled.
     """
-    mix = mixing.schedule(docs, carry=("text", "lang")).where("taken > 0")
-    takes = F.concat(F.sequence(F.lit(1), F.col("copies").cast("int")), F.array(F.lit(0)))
-    takes = F.filter(F.when(F.col("copies") > 0, takes).otherwise(F.array(F.lit(0))), lambda x: (x > 0) | (F.col("part") > 0))
-    each = mix.withColumn("take", F.explode(takes))
-    first = F.array_join(F.slice(F.filter(F.split("_text", common.SPACE), lambda w: w != ""), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
-    text = F.when(F.col("take") > 0, F.col("_text")).otherwise(first)
-    return each.select("doc_id", text.alias("text"), F.col("_lang").alias("lang"), "source", F.length(text).cast("long").alias("n_chars"))
+    mix = mixing.take(docs, ["doc_id", "text", "lang", "source"])
+    takes = F.when(F.col("copies") > 0, F.sequence(F.lit(1), F.col("copies").cast("int"))).otherwise(F.expr("array()").cast("array<int>"))
+    each = mix.withColumn("take", F.explode(F.when(F.col("part") > 0, F.concat(takes, F.array(F.lit(0)))).otherwise(takes)))
+    first = F.array_join(F.slice(F.filter(F.split("text", common.SPACE), lambda w: w != ""), 1, F.greatest(F.col("part"), F.lit(1)).cast("int")), " ")
+    text = F.when(F.col("take") > 0, F.col("text")).otherwise(first)
+    return each.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

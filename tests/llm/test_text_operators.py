@@ -211,11 +211,12 @@ def test_chunked_encoding(text):
 
 def test_mixing(docs, empty, monkeypatch):
     monkeypatch.setattr(mixing, "SLOT", 7)
-    got = mixing.in_order(mixing.schedule(docs, carry=("text",))).collect()
+    got = mixing.in_order(mixing.schedule(docs)).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in docs.collect())
     size, take, target = Counter(), Counter(), {}
     for r in got:
-        n = len(WORD.findall(r._text or ""))
-        assert r.size == n and 0 <= r.taken <= 2 * n and r.taken == r.copies * n + r.part
+        n = r.size
+        assert 0 <= r.taken <= 2 * n and r.taken == r.copies * n + r.part
         size[r.source] += n
         take[r.source] += r.taken
         target[r.source] = r.target
@@ -237,6 +238,27 @@ def test_mixing(docs, empty, monkeypatch):
     assert mixing.schedule(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 0.97, 1.5])
+def test_mixing_texts(docs, empty, monkeypatch, share):
+    monkeypatch.setattr(mixing, "SLOT", 7)
+    # rows that repeat an id may share what is left; all others are taken as scheduled
+    want = {(r.doc_id, r.source, r.size): (r.copies, r.part) for r in mixing.schedule(docs, share=share).collect() if r.taken and r.doc_id != 3}
+    rows = [r for r in mixing.take(docs, ["doc_id", "text", "source"], share=share).collect() if r.doc_id != 3]
+    assert {(r.doc_id, r.source, len(WORD.findall(r.text))): (r.copies, r.part) for r in rows} == want and len(rows) == len(want)
+    assert mixing.take(empty, ["doc_id", "text", "source"]).count() == 0
+
+
+def test_mixing_ties_at_the_end(spark):
+    same = spark.createDataFrame([(1, "a b c d e", "x"), (1, "a b c d e", "x"), (1, "a b c d e", "x"), (2, "a", "y")], "doc_id long, text string, source string")
+    got = mixing.take(same, ["doc_id", "text", "source"], share=0.5).collect()
+    scheduled = {r.source: r.t for r in mixing.schedule(same, share=0.5).groupBy("source").agg(F.sum("taken").alias("t")).collect()}
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.copies * len(r.text.split()) + r.part
+    assert len({(r.copies, r.part) for r in got if r.doc_id == 1}) == 1
+    assert all(0 <= scheduled[s] - taken[s] < 3 for s in scheduled)
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -17,6 +17,11 @@ def words(text: str = "text"):
     return F.coalesce(F.regexp_count(text, F.lit(common.WORD)), F.lit(0)).cast("long")
 
 
+def shuffled():
+    """A document's place in the shuffle: a seeded digest of doc_id, or of the text where that is null."""
+    return F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))))
+
+
 def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, docs, source_size, target) from (source, docs, source_size).
 
@@ -40,7 +45,7 @@ def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, mo
     return d.select("source", "docs", "source_size", F.when(F.col("place") >= F.col("first.place"), F.col("first.level") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
-def schedule(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0, carry: tuple = ()) -> DataFrame:
+def schedule(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mix: one row per document, in order of virtual finish time.
 
     Each source's documents are shuffled by a seeded digest of doc_id and offered `most`
@@ -48,15 +53,15 @@ def schedule(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, mo
     by the source's target, so that all sources reach time 1 together, where the budget is
     spent: the mix is truncated there, within the document then in service, by words. Rows:
     doc_id, source, size, source_size, target, finish (of its first copy), copies (whole ones
-    taken), part (words of one more, cut one), taken, and the columns of `carry`.
+    taken), part (words of one more, cut one), taken, and place and slot in the shuffle.
 
     The running sums are taken within slots of the shuffle, about SLOT documents each, over
     per-slot totals, so that a hot source is many tasks. Null text: size 0. Null source: a
-    source of its own, last. Null doc_id: shuffled as an empty id. Repeated rows and ties:
+    source of its own, last. Null doc_id: shuffled by the text. Repeated rows and ties:
     each row is a document, in any order among equals. Empty table: no row. A source with no
     words: target 0, nothing taken.
     """
-    one = docs.select("doc_id", "source", words().alias("size"), F.md5(F.concat_ws(":", F.lit(SEED), F.col("doc_id").cast("string"))).alias("place"), *[F.col(c).alias(f"_{c}") for c in carry])
+    one = docs.select("doc_id", "source", words().alias("size"), shuffled().alias("place"))
     plan = targets(one.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size")), weights, share, most)
     slots = F.ceil(F.col("docs") / F.lit(SLOT))
     two = one.join(plan.withColumnRenamed("source", "_s"), F.expr("source <=> _s")).drop("_s")
@@ -72,10 +77,33 @@ def schedule(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, mo
     served = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - (F.col("end") - F.col("size"))))
     out = end.withColumn("full", full).withColumn("served", served)
     whole = (F.col("size") > 0) & (F.col("served") == F.col("size"))
-    out = out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("target") > 0, F.col("end") / F.col("target")).alias("finish"), (F.col("full") + whole.cast("long")).alias("copies"), F.when(whole, 0).otherwise(F.col("served")).alias("part"), (F.col("full") * F.col("size") + F.col("served")).alias("taken"), *[F.col(f"_{c}").alias(f"_{c}") for c in carry])
+    out = out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("target") > 0, F.col("end") / F.col("target")).alias("finish"), (F.col("full") + whole.cast("long")).alias("copies"), F.when(whole, 0).otherwise(F.col("served")).alias("part"), (F.col("full") * F.col("size") + F.col("served")).alias("taken"), "place", "slot")
     return out
 
 
+def take(docs: DataFrame, columns: list[str], weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The columns (doc_id, text, source and others) of documents that the mix takes, with copies (whole ones) and part (words of one more, cut one).
+
+    A source's schedule ends within one document: all before it in the shuffle are served as
+    often as it, and once more. So one row per source, with its rounds and the place of that
+    end, says what is taken of every document, and texts are never shuffled. Rows that tie at
+    the end (repeated ids of one size) share what is left evenly, rounded down. Documents of
+    no words are not taken. Nulls and empty tables as in schedule().
+    """
+    mix = schedule(docs, weights, share, most).withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    ties = mix.groupBy("source", "slot", "place", "doc_id", "size", "full").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("taken") - F.col("full") * F.col("size")).alias("served"))
+    last = F.max(F.when(F.col("served") > 0, F.struct("place", "doc_id", "size", "n", "served")))
+    ends = common.stage(ties.groupBy(F.col("source").alias("_source")).agg(F.max("full").alias("_full"), last.alias("_end")), "mix-ends")
+    here, end = F.struct("doc_id", words().alias("size")), F.struct("_end.doc_id", "_end.size")
+    before = F.when(F.col("_place") == F.col("_end.place"), here < end).otherwise(F.col("_place") < F.col("_end.place"))
+    at = F.when(F.col("_place") == F.col("_end.place"), here == end).otherwise(False)
+    each = F.floor(F.col("_end.served") / F.col("_end.n"))
+    dealt = docs.select(*columns).where(F.col("text").rlike(common.WORD)).withColumn("_place", shuffled()).join(ends, F.expr("source <=> _source"))
+    once = F.coalesce(before | (at & (each == F.col("_end.size"))), F.lit(False))
+    part = F.coalesce(F.when(at & (each < F.col("_end.size")), each), F.lit(0)).cast("long")
+    return dealt.select(*columns, (F.col("_full") + once.cast("long")).alias("copies"), part.alias("part")).where("copies + part > 0")
+
+
 def in_order(mix: DataFrame) -> DataFrame:
     """The schedule range-sorted by virtual finish time."""
     return mix.orderBy("finish", "source", "doc_id")
@@ -89,7 +117,7 @@ def op5_mix_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH one AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('wfq-1:' || coalesce(doc_id::VARCHAR, '')) AS place
+         md5('wfq-1:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS place
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM one GROUP BY source),
 a AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS cap FROM src),
