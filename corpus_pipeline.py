@@ -18,9 +18,12 @@ def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest doc_id; of rows with that id one, and null ids only where a component has no other."""
+    """One document of each SimHash component: that of the smallest doc_id; of rows with that id one, and null ids only where a component has no other.
+
+    The kept ids grow with the corpus, so they meet the texts in a shuffled join at every size.
+    """
     marked = common.stage(simhash.dedup(docs).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).count(), "kept-ids")
-    out = docs.select(COLUMNS).join(marked.select("_id"), F.expr("doc_id <=> _id"), "left_semi")
+    out = docs.select(COLUMNS).join(marked.select("_id").hint("merge"), F.expr("doc_id <=> _id"), "left_semi")
     return out.dropDuplicates(["doc_id"]) if marked.where("count > 1").limit(1).count() else out
 
 
