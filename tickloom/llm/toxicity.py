@@ -25,7 +25,7 @@ class Terms:
     is the set of its terms. Slots of words seen are kept, up to a bound.
     """
 
-    def __init__(self, bits: int = BITS, most: int = 500_000):
+    def __init__(self, bits: int = BITS, most: int = 100_000):
         self.mask, self.most, self.seen = (1 << bits) - 1, most, {}
 
     def _slots(self, w: bytes) -> tuple:
