@@ -13,6 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores under 0.5; it learns from the labelled documents of sf_dir."""
+    common.small_batches(spark)
     model = toxicity.train(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
     return toxicity.keep(docs.select(COLUMNS), model)
 
@@ -22,6 +23,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     The kept ids grow with the corpus, so they meet the texts in a shuffled join at every size.
     """
+    common.small_batches(spark)
     marked = common.stage(simhash.dedup(docs).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).count(), "kept-ids")
     out = docs.select(COLUMNS).join(marked.select("_id").hint("merge"), F.expr("doc_id <=> _id"), "left_semi")
     return out.dropDuplicates(["doc_id"]) if marked.where("count > 1").limit(1).count() else out
@@ -29,6 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind in brackets and n_chars counted again."""
+    common.small_batches(spark)
     out = pii.detect(docs, keep=("lang", "source"), clean=True)
     return out.select("doc_id", F.col("clean").alias("text"), "lang", "source", F.length("clean").cast("long").alias("n_chars"))
 
@@ -49,6 +52,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces placed in sequences of at most 4096 tokens."""
+    common.small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

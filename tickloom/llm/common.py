@@ -38,6 +38,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most `rows` rows from now on in this session: whole texts lie in them, on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     spark, path = df.sparkSession, getattr(df, "_staged_path", None)
