@@ -19,14 +19,19 @@ def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest doc_id; of rows with that id one, and null ids only where a component has no other.
+    """One row of each SimHash component: that of the smallest doc_id, of rows with that id one, and a null id only where a component has no other.
 
-    The kept ids grow with the corpus, so they meet the texts in a shuffled join at every size.
+    A row is known by its id and a digest of its other columns, so rows of unrelated texts that
+    share an id, or have none, are told apart. The kept pairs grow with the corpus, so they meet
+    the texts in a shuffled join at every size.
     """
     common.small_batches(spark)
-    marked = common.stage(simhash.dedup(docs).where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).count(), "kept-ids")
-    out = docs.select(COLUMNS).join(marked.select("_id").hint("merge"), F.expr("doc_id <=> _id"), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if marked.where("count > 1").limit(1).count() else out
+    rest = F.to_json(F.struct("lang", "source", "n_chars"))
+    docs = docs.select(COLUMNS).withColumn("digest", F.sha2(F.concat(F.coalesce(F.sha2("text", 256), F.lit("")), rest), 256))
+    kept = common.stage(simhash.representatives(docs), "kept-rows")
+    pair = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).hint("merge")
+    out = docs.join(pair, F.expr("doc_id <=> _id AND digest = _digest"), "left_semi")
+    return (out.dropDuplicates(["doc_id", "digest"]) if kept.where("n > 1").limit(1).count() else out).select(COLUMNS)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

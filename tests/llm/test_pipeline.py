@@ -42,3 +42,19 @@ def test_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
             docs.count()
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    a, b, c, d, e, f = (" ".join(f"{x}{i * i}" for i in range(60)) for x in "abcdef")
+    cases = [
+        ([(None, a), (None, b), (None, c)], [(None, a), (None, b), (None, c)]),  # unrelated texts without an id
+        ([(5, a), (5, b)], [(5, a), (5, b)]),  # unrelated texts of one id
+        ([(2, b), (5, a), (5, b)], [(2, b), (5, a)]),
+        ([(1, a), (None, a), (None, b), (None, b), (None, None), (4, "")], [(1, a), (None, b), (4, "")]),
+        ([(7, f), (7, f), (8, f), (3, d), (3, e), (None, e), (None, c)], [(7, f), (3, d), (3, e), (None, c)]),
+    ]
+    near = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
+    for rows, want in cases:
+        docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+        assert Counter((r.doc_id, r.text) for r in near(spark, docs, SF).collect()) == Counter(want)

@@ -38,12 +38,14 @@ def _fingerprints(batches):
         for i in range(0, b.num_rows, 512):
             part = b.slice(i, 512)
             fp = np.fromiter((fingerprint(t or b"") for t in part.column("text").to_pylist()), np.uint64, part.num_rows)
-            yield pa.record_batch([part.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            rest = [c for c in part.schema.names if c != "text"]
+            yield pa.record_batch([*map(part.column, rest), pa.array(fp.view(np.int64))], names=[*rest, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed long. Null and blank texts: 0."""
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, digest: bool = False) -> DataFrame:
+    """(doc_id, fp), with column digest between them if asked: the fingerprint of each whole text as a signed long. Null and blank texts: 0."""
+    rest = ["doc_id", "digest"] if digest else ["doc_id"]
+    return docs.select(*rest, F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, f"doc_id long,{' digest string,' if digest else ''} fp long")
 
 
 def close_pairs(fp: np.ndarray, cell: np.ndarray, side: np.ndarray | None, most: int, budget: int = 1 << 21):
@@ -147,6 +149,12 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     return cells.mapInArrow(_links(most), "a long, b long").distinct()
 
 
+def labelled(distinct: DataFrame, most: int) -> DataFrame:
+    """distinct with label: the smallest fingerprint of fp's component."""
+    labels = common.components(links(distinct, most))
+    return distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def dedup(docs: DataFrame, most: int = 3) -> DataFrame:
     """SimHash near-duplicates of documents: (doc_id, fp, component_id).
 
@@ -157,12 +165,23 @@ def dedup(docs: DataFrame, most: int = 3) -> DataFrame:
     """
     marked = common.stage(fingerprints(docs), "simhash")
     distinct = common.stage(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    labels = common.components(links(distinct, most))
-    classes = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    classes = labelled(distinct, most)
     low = classes.groupBy("label").agg(F.min("rep").alias("component_id"))
     return marked.join(classes.select("fp", "label").join(low, "label").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, most: int = 3) -> DataFrame:
+    """One row for each component of dedup(): (doc_id, digest, n), the smallest pair in it, null ids last; n rows have that pair.
+
+    docs: doc_id, text and digest, a hash of the row's other columns. Rows of one pair have
+    one text, so no pair lies in two components: null and repeated ids stand for themselves.
+    """
+    marked = fingerprints(docs, digest=True).groupBy("fp", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest", "n"))
+    distinct = common.stage(marked.groupBy("fp").agg(least.alias("rep")), "simhash-distinct")
+    return labelled(distinct, most).groupBy("label").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.digest", "rep.n")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
