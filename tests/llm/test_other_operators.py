@@ -109,3 +109,14 @@ def test_components(spark):
     got = {x.node: x.label for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_topk_repeated_query_rows(spark, tmp_path):
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=64).tolist(), 0) for i in range(120)]
+    rows += [rows[50]] * 12 + [rows[100]] * 3 + [rows[7]] * 2
+    spark.createDataFrame(rows, VECTORS).write.parquet(f"{tmp_path}/embeddings.parquet")
+    code = {i: sum(1 << b for b, x in enumerate(v) if x > 0) for i, v, _ in rows}
+    want = {(q, k + 1, i, d) for q in (0, 50, 100) for k, (d, i) in enumerate(sorted(((code[q] ^ c).bit_count(), i) for i, c in code.items())[:10])}
+    got = [tuple(x) for x in topk.op9_topk_multi_index(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -94,9 +94,9 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     smallest ids, so a hot code is one index entry. Index shards, a hash of the code, meet
     blocks of queries; each search is exact in its shard, and the shards' best are merged. A
     query finds itself if it is in the index. Fewer than k rows: all of them. Empty tables: no
-    rows. Repeated ids are one.
+    rows. Repeated rows are one, of codes and of queries.
     """
-    distinct = codes.distinct()
+    distinct, queries = codes.distinct(), queries.select("query_id", "code").distinct()
     n, m = distinct.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
     salted = distinct.withColumn("salt", F.expr("pmod(xxhash64(vec_id), 64)")).groupBy("code", "salt").agg(F.expr(f"slice(sort_array(collect_list(vec_id)), 1, {k})").alias("ids"))
