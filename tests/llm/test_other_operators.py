@@ -1,3 +1,6 @@
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +123,18 @@ def test_topk_repeated_query_rows(spark, tmp_path):
     want = {(q, k + 1, i, d) for q in (0, 50, 100) for k, (d, i) in enumerate(sorted(((code[q] ^ c).bit_count(), i) for i, c in code.items())[:10])}
     got = [tuple(x) for x in topk.op9_topk_multi_index(spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_warc_reports_every_record_of_an_id(spark):
+    schema = "page_id long, url string, html string"
+    rows = [(i, "u", f"page {i}") for i in range(40)] + [(3, "u", f"other {i}") for i in range(6)]
+    pages = [*rows, *[(8, "u", "twin")] * 4, (None, "u", "kept")]
+    lost = [*rows[:40], *[(3, "u", f"new {i}") for i in range(2)], (8, "u", "twin"), (None, "u", "kept"), *[(None, "u", f"extra {i}") for i in range(5)], *[(9, "v", "double")] * 2]
+    digest = lambda url, html: hashlib.sha256(f"{url}\r\n\r\n{html}".encode()).hexdigest()
+    got = warc.audit(spark.createDataFrame(pages, schema), spark.createDataFrame(lost, schema)).collect()
+    assert Counter((r.page_id, r.state) for r in got) == {(3, "changed"): 2, (3, "missing"): 4, (8, "missing"): 3, (-1, "extra"): 5, (9, "extra"): 2}
+    assert Counter(r.digest for r in got if r.page_id == 3) == Counter(digest("u", f"other {i}") for i in range(6))
+    assert Counter(r.replica_digest for r in got if r.replica_digest) == Counter(digest(u, h) for i, u, h in lost if h.split()[0] in ("new", "extra", "double"))
+    offsets = {(r.page_id, r.digest, r.offset) for r in warc.offsets(warc.records(spark.createDataFrame(pages, schema))).collect()}
+    mine = [(r.page_id, r.digest, r.offset) for r in got if r.digest]
+    assert len(set(mine)) == len(mine) and set(mine) <= offsets

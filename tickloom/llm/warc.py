@@ -52,6 +52,19 @@ def tree(record: DataFrame) -> list[DataFrame]:
     return levels
 
 
+def copies(odd: DataFrame) -> DataFrame:
+    """A row for each of surplus copies of (page_id, digest): copy counts them from 0, and k the places within the page_id, in order of digest.
+
+    Places are running sums within and over 256 slots of digests, so the records of a hot id are dealt out.
+    """
+    slotted = odd.withColumn("slot", F.substring("digest", 1, 2))
+    before = Window.partitionBy("page_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("page_id", "slot").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)
+    sums = slotted.groupBy("page_id", "slot").agg(F.sum("surplus").alias("all")).select("page_id", "slot", (F.sum("all").over(before) - F.col("all")).alias("base"))
+    placed = slotted.withColumn("start", F.sum("surplus").over(own) - F.col("surplus")).join(sums, ["page_id", "slot"])
+    return placed.withColumn("copy", F.explode(F.expr("sequence(0L, surplus - 1)"))).withColumn("k", F.expr("base + start + copy")).drop("slot", "base", "start")
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     """Records in which two replicas differ.
 
@@ -60,8 +73,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     every level get their records compared. Rows: page_id, file, offset and length (of the
     primary; null where it lacks the record), digest, replica_digest, state ('changed',
     'missing', 'extra'). Null url or html: empty; null page_id: key -1; repeated records
-    are compared by count; empty tables: all of the other are missing or extra; other
-    columns are ignored.
+    are compared by count, a row for each copy that one side has more. Of an id's records
+    that differ, the primary's k-th by digest is paired with the replica's k-th, and the rest
+    are missing or extra; empty tables: all of the other are missing or extra; other columns
+    are ignored.
     """
     a, b = common.stage(records(primary), "warc"), common.stage(records(replica), "warc")
     ta, tb = tree(a), tree(b)
@@ -78,10 +93,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     filed = offsets(a).join(bad, F.col("leaf") == bad["up"], "left_semi")
     one = filed.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("file"), F.min("offset").alias("offset"), F.min("length").alias("length"))
     two = b.join(bad, F.col("leaf") == bad["up"], "left_semi").groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("m"))
-    left = one.join(two, ["page_id", "digest"], "left").where("n > coalesce(m, 0)").drop("n", "m")
-    right = two.join(one.select("page_id", "digest", "n"), ["page_id", "digest"], "left").where("m > coalesce(n, 0)")
-    right = right.groupBy("page_id").agg(F.min("digest").alias("replica_digest"))
-    out = left.join(right, "page_id", "full")
+    odd = common.stage(one.join(two, ["page_id", "digest"], "full").fillna(0, ["n", "m"]).where("n <> m"), "warc-odd")
+    left = copies(odd.where("n > m").withColumn("surplus", F.expr("n - m"))).withColumn("offset", F.expr("offset + (m + copy) * length"))
+    right = copies(odd.where("m > n").select("page_id", "digest", F.expr("m - n").alias("surplus")))
+    out = left.join(right.select("page_id", "k", F.col("digest").alias("replica_digest")), ["page_id", "k"], "full")
     state = F.when(F.col("digest").isNull(), "extra").when(F.col("replica_digest").isNull(), "missing").otherwise("changed")
     return out.select("page_id", "file", "offset", "length", "digest", "replica_digest", state.alias("state"))
 
