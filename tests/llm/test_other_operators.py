@@ -138,3 +138,10 @@ def test_warc_reports_every_record_of_an_id(spark):
     offsets = {(r.page_id, r.digest, r.offset) for r in warc.offsets(warc.records(spark.createDataFrame(pages, schema))).collect()}
     mine = [(r.page_id, r.digest, r.offset) for r in got if r.digest]
     assert len(set(mine)) == len(mine) and set(mine) <= offsets
+
+
+def test_codes_refuse_longer_vectors(spark):
+    wide = spark.createDataFrame([(1, [1.0] * 64, 0), (2, [1.0] * 65, 0)], VECTORS)
+    assert topk.sign_codes(wide.where("vec_id = 1")).first().code == -1
+    with pytest.raises(Exception, match="over 64 components"):
+        topk.sign_codes(wide).collect()

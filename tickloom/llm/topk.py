@@ -81,10 +81,11 @@ def _search(k: int):
 
 
 def sign_codes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, code): bit i of a 64-bit code says that component i is above 0; null vectors and ids go."""
+    """(vec_id, code): bit i of a 64-bit code says that component i is above 0; null vectors and ids go, a vector of over 64 components is an error."""
     bits = " + ".join(f"if(coalesce(get(embedding, {i}), 0) > 0, {1 << i}L, 0L)" for i in range(63))
     code = f"({bits}) | if(coalesce(get(embedding, 63), 0) > 0, shiftleft(1L, 63), 0L)"
-    return vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", F.expr(code).alias("code"))
+    whole = f"if(size(embedding) > 64, raise_error('embeddings of over 64 components do not fit a 64-bit code'), {code})"
+    return vectors.where("embedding IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", F.expr(whole).cast("long").alias("code"))
 
 
 def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
