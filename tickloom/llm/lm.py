@@ -83,7 +83,7 @@ def _count(buckets: int):
 
 
 def _merge(buckets: int):
-    """A bucket of contexts: the shard of the model (sorted hash arrays), what it answers each chunk, and how often each word continues."""
+    """A bucket of contexts: its contexts and totals (sorted hash arrays), what it answers each chunk, and how often each word continues."""
 
     def run(t: pa.Table) -> pa.Table:
         kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
@@ -213,8 +213,10 @@ def score(docs: DataFrame, learn) -> DataFrame:
     (tokens that occur in training), train_tokens, base_score (additive unigram, log10) and
     score (log10 probability under the interpolated modified Kneser-Ney bigram model, whose
     lower order counts contexts and falls back to uniform over the training words and one
-    unknown). The model lies in the shared folder as sorted hash arrays, one shard a bucket;
-    a worker gets the part its chunk needs and maps it from a temporary file.
+    unknown). No model is stored to look n-grams up in: buckets answer each chunk the counts
+    of its own n-grams, and scores come from these. Of that, probabilities by chunk are mapped
+    from a temporary file; the 'model' rows hold contexts and totals, and only their
+    counts of counts are read.
 
     Null, empty and blank texts are the end alone; repeated rows count again; a null doc_id is
     scored like others; empty table: no rows; nothing to learn from: uniform; other columns
