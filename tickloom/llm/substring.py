@@ -1,4 +1,4 @@
-"""Substring dedup: word k-mers as De Bruijn edges, repeated ones found by an edge exchange, runs of them compacted to spans."""
+"""Substring dedup: word k-mers as De Bruijn edges, repeated ones found by an edge exchange, runs of them in a document made into spans."""
 
 from __future__ import annotations
 
@@ -96,14 +96,15 @@ def repeated(docs: DataFrame, k: int = K) -> DataFrame:
     Edges are the k-word windows of every document. Chunks hold documents in order of doc_id,
     so an edge is a repeat if its chunk has it in a smaller document or a chunk before has it
     at all; the buckets answer the latter by one bit for each distinct edge of a chunk. The
-    answers join the chunk's documents again, where runs of repeated edges, the nonbranching
-    paths, are compacted to the spans of words that they cover.
+    answers join the chunk's documents again, where runs of repeated edges in a document become
+    the spans of words that they cover. No graph is built: nodes, degrees and branches are not
+    looked at.
 
     Rows: doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by one space) and
     the spans' starts and ends in words. Null, empty and blank texts have no words; texts
     under k words keep all; rows with equal doc_id don't remove each other's words; a null
     doc_id is larger than any; empty table: no rows; other columns are ignored. Edges are
-    compared by 64-bit hashes of whole words in order.
+    compared by 64-bit hashes of whole words in order; spans are not verified against their source.
     """
     source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     source, n = ordered(source)
