@@ -38,6 +38,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A staged table, read anew: columns of its own, for joins with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._staged_path)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches of at most `rows` rows from now on in this session: whole texts lie in them, on both sides of the pipe."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -45,12 +50,16 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, rows)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
-    spark, path = df.sparkSession, getattr(df, "_staged_path", None)
+    path = getattr(df, "_staged_path", None)
     if path:
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+        delete(df.sparkSession, path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -72,18 +81,3 @@ def components(edges: DataFrame) -> DataFrame:
         labels = two
     unstage(both)
     return labels.select("node", "label")
-
-
-def sweep(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished jobs that nothing refers to any more.
-
-    Its cleaner goes by the JVM's garbage collection, which a roomy heap puts off; the second
-    round is for what Python's release of the first let go.
-    """
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)

@@ -8,19 +8,16 @@ that is hot in the corpus is one entry of a chunk's array, so no task gets more
 for each chunk and hash.
 """
 
-from __future__ import annotations
-
 import struct
 import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, and as many entries as a chunk has words in a bucket, on average.
 CHUNK_BYTES = 12 << 20
-#: Cells of the doc_id range, of which ordered chunks are made.
-CELLS = 1 << 14
 
 
 def pack(u: np.ndarray) -> bytes:
@@ -64,25 +61,36 @@ def count_chunks(docs: DataFrame, text: str = "text") -> int:
     return max(1, -(-size // CHUNK_BYTES))
 
 
-def hashed(docs: DataFrame, chunks: int) -> DataFrame:
-    """docs with column chunk: a hash of doc_id."""
-    return docs.withColumn("chunk", F.expr(f"cast(pmod(xxhash64(doc_id), {chunks}) as int)"))
-
-
-def ordered(docs: DataFrame, text: str = "text", cells: int = CELLS) -> tuple[DataFrame, int]:
-    """docs with column chunk, ascending with doc_id (null last), each chunk about CHUNK_BYTES; and their number.
+def ordered(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
+    """docs with columns chunk and rank, and the number of chunks, each of about CHUNK_BYTES.
 
-    The doc_id range is cut into `cells` equal cells, whose bytes are counted; a running sum
-    turns cells into chunks. The table of cells has at most cells + 1 rows, so it is broadcast.
+    Ranks ascend with doc_id (null last), and rows of one doc_id have one rank. Quantiles of
+    doc_id, 8 for each chunk, cut the ids into cells whose bytes are counted, and cells in order
+    fill chunks; so far-off ids change nothing. An id that is itself a quantile is a cell of its
+    own, and if that holds more than a chunk, it is a rank of several chunks, dealt by a hash of
+    the text. The driver sees two numbers for each cell, 16 for each chunk at most.
     """
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) // cells))
-    cell = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(cells)).cast("int")
-    sizes = docs.groupBy(cell.alias("cell")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("b"))
-    plan = sizes.select("cell", F.floor((F.sum("b").over(Window.orderBy("cell")) - F.col("b")) / F.lit(CHUNK_BYTES)).cast("int").alias("chunk")).collect()
-    chunks = 1 + max((r.chunk for r in plan), default=0)
-    if not plan:
-        return docs.withColumn("chunk", F.lit(0)), 1
-    table = docs.sparkSession.createDataFrame([(r.cell, r.chunk) for r in plan], "cell int, chunk int")
-    return docs.withColumn("cell", cell).join(F.broadcast(table), "cell").drop("cell"), chunks
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 0
+    cells = 8 * max(1, -(-size // CHUNK_BYTES))
+    cuts = docs.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 10 * cells)).first()[0]
+    bounds = np.unique(np.array(cuts or [0], np.int64))
+
+    @F.arrow_udf("int")
+    def cell(ids: pa.Array) -> pa.Array:
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(bounds, x)
+        out = 2 * at + (bounds[np.minimum(at, len(bounds) - 1)] == x)
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 2 * len(bounds) + 1, out).astype(np.int32))
+
+    marked = docs.withColumn("cell", cell("doc_id"))
+    sizes = {r.cell: r.b for r in marked.groupBy("cell").agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("b")).collect()}
+    plan, chunks, rank, room = [], 0, -1, 0
+    for c in sorted(sizes):
+        parts = -(-sizes[c] // CHUNK_BYTES) if c % 2 else 1
+        if parts > 1 or sizes[c] > room:
+            chunks, rank, room = chunks + parts, rank + 1, CHUNK_BYTES if parts == 1 else 0
+        room -= sizes[c]
+        plan.append((c, chunks - parts, parts, rank))
+    table = docs.sparkSession.createDataFrame(plan or [(0, 0, 1, 0)], "cell int, first int, parts int, rank int")
+    chunk = F.expr(f"cast(first + pmod(xxhash64({text}), parts) as int)")
+    return marked.join(F.broadcast(table), "cell").withColumn("chunk", chunk).drop("cell", "first", "parts"), max(1, chunks)

@@ -1,12 +1,13 @@
-"""Substring dedup: word k-mers as De Bruijn edges, repeated ones found by an edge exchange, runs of them in a document made into spans."""
+"""Substring dedup: a De Bruijn graph of repeated word k-mers, compacted by joins; source coordinates verify what is removed."""
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -14,103 +15,249 @@ from .exchange import buckets_of, ordered, pack, unpack
 from .textkit import windows, word_hashes
 
 K = 13
+_SENT = "bucket int, chunk int, rank int, edges binary"
+_ANSWER = "chunk int, bucket int, seen binary, wanted binary, source binary"
+_MARKED = "kind string, chunk int, back int, id long, doc_id long, start long, words string, nodes array<long>, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>"
 
 
-def _edges(t: pa.Table, k: int):
+def _hashes(h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Edge hashes, of which the high `bits` bits count."""
+    return windows(h, k) >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+
+def _edges(t: pa.Table, k: int, bits: int):
     """The chunk's documents in order of doc_id (null last), and its edges: hash and word position of each, document of each word."""
     t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     texts = [x or b"" for x in t.column("text").to_pylist()]
     h, first = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    w = windows(h, k)
+    w = _hashes(h, k, bits)
     at = np.flatnonzero(doc[: len(w)] == doc[k - 1 :]) if len(w) else np.zeros(0, np.int64)
-    return t, texts, first, doc, w[at], at
+    return t, texts, h, first, doc, w[at], at
 
 
-def _send(k: int, buckets: int):
+def _send(k: int, bits: int, buckets: int):
+    """A chunk's distinct edges, one packed sorted array for each bucket of hashes."""
+
     def run(t: pa.Table) -> pa.Table:
-        chunk = t.column("chunk")[0].as_py()
-        u = np.unique(_edges(t, k)[4])
+        chunk, rank = t.column("chunk")[0].as_py(), t.column("rank")[0].as_py()
+        u = np.unique(_edges(t, k, bits)[5])
         cut = buckets_of(u, buckets)
         full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "edges": pa.array([pack(u[cut[b] : cut[b + 1]]) for b in full], pa.binary())})
+        return pa.table({"bucket": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int32()), "rank": pa.array([rank] * len(full), pa.int32()), "edges": pa.array([pack(u[cut[b] : cut[b + 1]]) for b in full], pa.binary())})
 
     return run
 
 
 def _meet(t: pa.Table) -> pa.Table:
-    """For each chunk's edges of this bucket: a bit that says whether a chunk before has the edge too."""
-    t = t.sort_by("chunk")
+    """A bucket's answer to each chunk, for its edges there: seen, whether a chunk of a smaller rank has the edge, and which first (source); wanted, whether the chunk is that first one for another rank."""
+    t = t.sort_by([("rank", "ascending"), ("chunk", "ascending")])
+    chunks, ranks = t.column("chunk").to_pylist(), np.array(t.column("rank").to_pylist())
     lists = [unpack(b) for b in t.column("edges").to_pylist()]
-    u = np.concatenate(lists)
-    order = np.argsort(u, kind="stable")
-    s = u[order]
-    seen = np.zeros(len(u), bool)
-    seen[order[1:][s[1:] == s[:-1]]] = True
-    ends = np.cumsum([0, *map(len, lists)])
-    rows = [(c, np.packbits(seen[a:b]).tobytes()) for c, a, b in zip(t.column("chunk").to_pylist(), ends, ends[1:]) if seen[a:b].any()]
+    sizes = [len(x) for x in lists]
+    of = np.repeat(np.arange(len(lists)), sizes)
+    _, first, place, n = np.unique(np.concatenate(lists), return_index=True, return_inverse=True, return_counts=True)
+    head = of[first][place]  # the list that has the edge first
+    seen = ranks[head] < ranks[of]
+    later = np.bincount(place[seen], minlength=len(n)) > 0
+    wanted = later[place] & (head == of)
+    ends = np.cumsum([0, *sizes])
+    out = []
+    for i, (a, b) in enumerate(zip(ends, ends[1:])):
+        s, w = seen[a:b], wanted[a:b]
+        if s.any() or w.any():
+            source = np.array(chunks, np.int32)[head[a:b][s]]
+            out.append((chunks[i], np.packbits(s).tobytes(), np.packbits(w).tobytes(), zlib.compress(source.astype("<i4").tobytes(), 1)))
     bucket = t.column("bucket")[0].as_py()
-    return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int32()), "bucket": pa.array([bucket] * len(rows), pa.int32()), "seen": pa.array([r[1] for r in rows], pa.binary())})
+    cols = list(zip(*out)) if out else [()] * 4
+    return pa.table({"chunk": pa.array(cols[0], pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32())} | {n: pa.array(c, pa.binary()) for n, c in zip(("seen", "wanted", "source"), cols[1:])})
+
 
+def _runs(mask: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (inclusive) of the stretches of a mask over which each of `same` goes up by one or stays, as given."""
+    if not len(mask):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    joined = mask[1:] & mask[:-1]
+    for x in same:
+        joined &= x
+    return np.flatnonzero(mask & ~np.concatenate(([False], joined))), np.flatnonzero(mask & ~np.concatenate((joined, [False])))
 
-def _spans(cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([0], cover.astype(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
+def _bits(b: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool)
+
+
+def _mark(k: int, bits: int, buckets: int, parts: bool = True):
+    """A chunk with its answers -> 'doc' rows; and, if `parts`, 'walk' rows, stretches of edges that it holds first, and 'ask' rows, stretches of repeats with the chunk that holds them first.
+
+    An answer of bucket -1 lists edges whose words were found to differ from their source's.
+    """
 
-def _apply(k: int, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, texts, first, _, edges, at = _edges(docs, k)
+        if not docs.num_rows:
+            return _table([])
+        chunk = docs.column("chunk")[0].as_py()
+        docs, texts, h, first, doc, edges, at = _edges(docs, k, bits)
         u, place, inverse = np.unique(edges, return_index=True, return_inverse=True)
-        cut, seen = buckets_of(u, buckets), np.zeros(len(u), bool)
-        for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("seen").to_pylist()):
-            n = cut[b + 1] - cut[b]
-            seen[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        cut = buckets_of(u, buckets)
+        seen, wanted, source, denied = np.zeros(len(u), bool), np.zeros(len(u), bool), np.full(len(u), chunk, np.int32), [np.zeros(0, np.uint64)]
+        for a in answers.to_pylist():
+            b = a["bucket"]
+            if b < 0:
+                denied.append(unpack(a["seen"]))
+                continue
+            s = slice(cut[b], cut[b + 1])
+            seen[s], wanted[s] = _bits(a["seen"], cut[b + 1] - cut[b]), _bits(a["wanted"], cut[b + 1] - cut[b])
+            source[s][seen[s]] = np.frombuffer(zlib.decompress(a["source"]), "<i4")
         ids = docs.column("doc_id").to_pylist()
-        rank = np.cumsum([0, *(a != b for a, b in zip(ids, ids[1:]))]) if ids else np.zeros(0, np.int64)
-        of_word = np.repeat(rank, np.diff(first))
-        gone = seen[inverse] | (of_word[at[place]][inverse] < of_word[at])
+        order = np.cumsum([0, *(x != y for x, y in zip(ids, ids[1:]))])[doc[at]] if ids else np.zeros(0, np.int64)
+        here = order[place][inverse] < order if len(u) else np.zeros(0, bool)  # a smaller id of this chunk has it
+        gone = seen[inverse] | here
+        own = np.zeros(len(edges), bool)
+        own[place] = ~seen & (wanted | (np.bincount(inverse[here], minlength=len(u)) > 0))
+        next_word = np.diff(at) == 1 if len(at) else np.zeros(0, bool)
+        next_word &= doc[at][1:] == doc[at][:-1]
+        rows, split = [], {}
+
+        def words(i: int, j: int) -> str:
+            d = doc[at[i]]
+            if d not in split:
+                split.clear()
+                split[d] = texts[d].split()
+            return b" ".join(split[d][at[i] - first[d] : at[j] - first[d] + k]).decode()
+
+        if parts:
+            nodes = windows(h, k - 1).view(np.int64)
+            for n, (i, j) in enumerate(zip(*_runs(own, next_word))):
+                d = doc[at[i]]
+                rows.append({"kind": "walk", "chunk": chunk, "id": (chunk << 32) + n, "doc_id": ids[d], "start": int(at[i] - first[d]), "words": words(i, j), "nodes": nodes[at[i] : at[j] + 2].tolist()})
+            asked = set()
+            holder = source[inverse]
+            for i, j in zip(*_runs(gone, next_word, holder[1:] == holder[:-1])):
+                ask = int(holder[i]), words(i, j)
+                if ask not in asked:
+                    asked.add(ask)
+                    rows.append({"kind": "ask", "chunk": ask[0], "back": chunk, "words": ask[1]})
+        if len(denied) > 1:
+            gone &= ~np.isin(edges, np.concatenate(denied))
         turn = np.zeros(first[-1] + 1, np.int64)
         np.add.at(turn, at[gone], 1)
         np.add.at(turn, at[gone] + k, -1)
         cover = np.cumsum(turn[:-1]) > 0
-        out = []
         for i, text in enumerate(texts):
-            ws, own = text.split(), cover[first[i] : first[i + 1]]
-            a, b = _spans(own)
-            if len(a):
-                kept = [w for w, x in zip(ws, own.tolist()) if not x]
-                out.append((ids[i], len(ws), int(own.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), a.tolist(), b.tolist()))
-            else:
-                out.append((ids[i], len(ws), 0, hashlib.sha256(b" ".join(ws)).hexdigest(), [], []))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "starts", "ends"]
-        return pa.table({n: pa.array([r[x] for r in out], kind) for x, (n, kind) in enumerate(zip(names, kinds))})
+            ws, mine = text.split(), cover[first[i] : first[i + 1]]
+            a, b = _runs(mine)
+            kept = [w for w, x in zip(ws, mine.tolist()) if not x] if len(a) else ws
+            rows.append({"kind": "doc", "chunk": chunk, "doc_id": ids[i], "n_words": len(ws), "n_removed": int(mine.sum()), "kept_sha256": hashlib.sha256(b" ".join(kept)).hexdigest(), "starts": a.tolist(), "ends": (b + 1).tolist()})
+        return _table(rows)
+
+    return run
+
+
+_KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def _table(rows: list[dict], schema: str = _MARKED) -> pa.Table:
+    return pa.table({n: pa.array([r.get(n) for r in rows], _KINDS[t]) for n, t in (c.split() for c in schema.split(", "))})
+
+
+def compact(walks: DataFrame, k: int = K) -> DataFrame:
+    """The compacted graph of walks: segments (path, chunk, doc_id, start, words), each a stretch of a document's words.
+
+    walks: id, chunk, doc_id, start, words (joined by a space), nodes (a hash of each k - 1
+    words); their k-word windows are the edges, all distinct, between these nodes. Nodes with one edge in and one out don't
+    branch. Walks are cut at nodes that do, and segments that meet at a node that doesn't are
+    joined: `path` names the nonbranching path that a segment is part of.
+    """
+    ws = F.split("words", " ", -1)
+    node = walks.select("id", (F.size("nodes") - 1).alias("last"), F.posexplode("nodes").alias("i", "node"))
+    of = Window.partitionBy("node")
+    ins, outs = F.sum((F.col("i") > 0).cast("int")).over(of), F.sum((F.col("i") < F.col("last")).cast("int")).over(of)
+    degrees = node.withColumn("ins", ins).withColumn("outs", outs)
+    marks = degrees.where("ins > 1 OR outs > 1 OR i = 0 OR i = last").select("id", F.struct("i", "node", F.expr("ins = 1 AND outs = 1").alias("through")).alias("mark"))
+    cuts = marks.groupBy("id").agg(F.array_sort(F.collect_list("mark")).alias("m"))
+    pieces = cuts.select("id", F.explode(F.expr("transform(sequence(1, size(m) - 1), j -> struct(m[j - 1] as a, m[j] as b))")).alias("p"))
+    pieces = common.stage(pieces.select("id", "p.a", "p.b", F.concat_ws(":", "id", "p.a.i").alias("piece")), "pieces-of-paths")
+    left = pieces.where("b.through").select(F.col("b.node").alias("node"), F.col("piece").alias("a"))
+    right = pieces.where("a.through").select(F.col("a.node").alias("node"), F.col("piece").alias("b"))
+    labels = common.components(left.join(right, "node").select("a", "b"))
+    named = common.again(pieces).join(labels.withColumnRenamed("node", "piece"), "piece", "left")
+    cut = named.join(walks.hint("merge"), "id")
+    return cut.select(F.coalesce("label", "piece").alias("path"), "chunk", "doc_id", (F.col("start") + F.col("a.i")).alias("start"), F.array_join(F.slice(ws, F.col("a.i") + 1, F.col("b.i") - F.col("a.i") + (k - 1)), " ").alias("words"))
+
+
+_SPANS = "chunk int, path string, doc_id long, start long, length long, edges binary"
+
+
+def _verify(k: int, bits: int):
+    """A chunk's segments and what others ask of it -> spans (path, source doc_id, start and length in words), and for each asking chunk the edges whose words are not its source's."""
+
+    def run(segments: pa.Table, asks: pa.Table) -> pa.Table:
+        seg, own, asked = segments.to_pylist(), segments.column("words").to_pylist(), asks.column("words").to_pylist()
+        back = asks.column("back").to_pylist()
+        held, first = word_hashes([w.encode() for w in own])
+        of = np.repeat(np.arange(len(own)), np.diff(first))
+        w = _hashes(held, k, bits)
+        at = np.flatnonzero(of[: len(w)] == of[k - 1 :]) if len(w) else np.zeros(0, np.int64)
+        order = np.argsort(w[at], kind="stable")
+        keys, at = w[at][order], at[order]
+        lists = [s.split(" ") for s in own]
+        rows, bad = [], {}
+        for text, to in zip(asked, back):
+            ws = text.split(" ")
+            e = _hashes(word_hashes([text.encode()])[0], k, bits)
+            i = np.minimum(np.searchsorted(keys, e), max(0, len(keys) - 1))
+            found = keys[i] == e if len(keys) else np.zeros(len(e), bool)
+            spot = at[i] if len(keys) else np.zeros(len(e), np.int64)
+            s = of[spot] if len(keys) else spot
+            ok = np.zeros(len(e), bool)
+            for x, y in zip(*_runs(found, np.diff(spot) == 1, s[1:] == s[:-1])):
+                off = int(spot[x] - first[s[x]])
+                if ws[x : y + k] == lists[s[x]][off : off + y - x + k]:
+                    ok[x : y + 1] = True
+                    rows.append({"chunk": to, "path": seg[s[x]]["path"], "doc_id": seg[s[x]]["doc_id"], "start": seg[s[x]]["start"] + off, "length": int(y - x + k)})
+                else:
+                    for z in range(x, y + 1):
+                        ok[z] = ws[z : z + k] == lists[s[x]][off + z - x : off + z - x + k]
+            if not ok.all():
+                bad.setdefault(to, []).append(e[~ok])
+        rows += [{"chunk": to, "edges": pack(np.unique(np.concatenate(e)))} for to, e in bad.items()]
+        return _table(rows, _SPANS)
 
     return run
 
 
-def repeated(docs: DataFrame, k: int = K) -> DataFrame:
+def repeated(docs: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     """Words covered by a window of k words that also starts in a document with a smaller doc_id.
 
-    Edges are the k-word windows of every document. Chunks hold documents in order of doc_id,
-    so an edge is a repeat if its chunk has it in a smaller document or a chunk before has it
-    at all; the buckets answer the latter by one bit for each distinct edge of a chunk. The
-    answers join the chunk's documents again, where runs of repeated edges in a document become
-    the spans of words that they cover. No graph is built: nodes, degrees and branches are not
-    looked at.
+    Edges are the k-word windows of every document, between nodes of k - 1 words. Chunks hold
+    documents by rank, which ascends with doc_id, and exchange their distinct edge hashes with
+    buckets: those that occur under two doc_ids are the repeated edges, and the chunk that
+    holds one first is its source. Of each repeated edge the first occurrence is in one walk;
+    the graph of walks is compacted (see compact), and each repeated stretch of a document is
+    laid along the segments of the paths at its source, where all its words are compared.
+    Windows whose words differ (edges whose hashes collide) are not removed; a collision may
+    also hide a repeat. `bits` of the hash count.
 
     Rows: doc_id, n_words, n_removed, kept_sha256 (of the words kept, joined by one space) and
     the spans' starts and ends in words. Null, empty and blank texts have no words; texts
     under k words keep all; rows with equal doc_id don't remove each other's words; a null
-    doc_id is larger than any; empty table: no rows; other columns are ignored. Edges are
-    compared by 64-bit hashes of whole words in order; spans are not verified against their source.
+    doc_id is larger than any; empty table: no rows; other columns are ignored.
     """
-    source = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    source, n = ordered(source)
-    sent = source.groupBy("chunk").applyInArrow(_send(k, n), "bucket int, chunk int, edges binary")
-    answers = sent.groupBy("bucket").applyInArrow(_meet, "chunk int, bucket int, seen binary")
-    return source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_apply(k, n), "doc_id long, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
+    source, n = ordered(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
+    answers = source.groupBy("chunk").applyInArrow(_send(k, bits, n), _SENT).groupBy("bucket").applyInArrow(_meet, _ANSWER)
+    marked = common.stage(source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(k, bits, n), _MARKED), "marked")
+    segments = compact(common.again(marked).where("kind = 'walk'").select("id", "chunk", "doc_id", "start", "words", "nodes"), k)
+    asks = marked.where("kind = 'ask'").select("chunk", "back", "words")
+    spans = common.stage(segments.groupBy("chunk").cogroup(asks.groupBy("chunk")).applyInArrow(_verify(k, bits), _SPANS), "spans")
+    out = marked.where("kind = 'doc'")
+    bad = spans.where("edges IS NOT NULL")
+    if bad.limit(1).count():
+        deny = bad.select("chunk", F.lit(-1).alias("bucket"), F.col("edges").alias("seen"), F.lit(None).cast("binary").alias("wanted"), F.lit(None).cast("binary").alias("source"))
+        again = source.groupBy("chunk").cogroup(answers.unionByName(deny).groupBy("chunk")).applyInArrow(_mark(k, bits, n, parts=False), _MARKED)
+        chunks = bad.select("chunk").distinct()
+        out = out.join(chunks, "chunk", "left_anti").select(marked.columns).unionByName(again.join(chunks, "chunk", "left_semi").select(marked.columns))
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "starts", "ends")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
