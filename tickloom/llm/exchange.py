@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, and as many entries as a chunk has words in a bucket, on average.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def pack(u: np.ndarray) -> bytes:
