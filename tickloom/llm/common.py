@@ -80,4 +80,6 @@ def components(edges: DataFrame) -> DataFrame:
         unstage(labels)
         labels = two
     unstage(both)
-    return labels.select("node", "label")
+    out = labels.select("node", "label")
+    out._staged_path = labels._staged_path
+    return out

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Documents of a source that share a slot of the shuffle, on average; more documents mean more slots.
-SLOT = 2048
+#: Documents of a source that share a slot of the shuffle, on average; more documents mean more slots. Slots in a block.
+SLOT, BLOCK = 2048, 4096
 SEED = "wfq-1"
 
 
@@ -46,39 +48,44 @@ def targets(sizes: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, mo
 
 
 def schedule(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The mix: one row per document, in order of virtual finish time.
+    """The mix: one row per document.
 
     Each source's documents are shuffled by a seeded digest of doc_id and offered `most`
     times over. A document's virtual finish time is the source's words up to its end, divided
     by the source's target, so that all sources reach time 1 together, where the budget is
-    spent: the mix is truncated there, within the document then in service, by words. Rows:
-    doc_id, source, size, source_size, target, finish (of its first copy), copies (whole ones
-    taken), part (words of one more, cut one), taken, and place and slot in the shuffle.
+    spent: what finishes by then is taken whole, and what is in service then is truncated, by
+    words. Rows: doc_id, source, size, source_size, target, finish (of its first copy), copies
+    (whole ones taken), part (words of one more, cut one), taken, and place and slot in the shuffle.
 
-    The running sums are taken within slots of the shuffle, about SLOT documents each, over
-    per-slot totals, so that a hot source is many tasks. Null text: size 0. Null source: a
+    The texts are read once; sizes and places are staged. The running sums are taken within
+    slots of the shuffle, about SLOT documents each, over totals of slots within blocks and of
+    blocks, so that a hot source is many tasks. Null text: size 0. Null source: a
     source of its own, last. Null doc_id: shuffled by the text. Repeated rows and ties:
     each row is a document, in any order among equals. Empty table: no row. A source with no
     words: target 0, nothing taken.
     """
-    one = docs.select("doc_id", "source", words().alias("size"), shuffled().alias("place"))
+    one = common.stage(docs.select("doc_id", "source", words().alias("size"), shuffled().alias("place")), "mix-sizes")
     plan = targets(one.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size")), weights, share, most)
     slots = F.ceil(F.col("docs") / F.lit(SLOT))
     two = one.join(plan.withColumnRenamed("source", "_s"), F.expr("source <=> _s")).drop("_s")
     two = two.withColumn("slot", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * slots / F.lit(2**32)).cast("int"))
-    sums = two.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
-    starts = sums.select(F.col("source").alias("_s"), F.col("slot").alias("_k"), (F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot")) - F.col("slot_size")).alias("ahead"))
+    sums = two.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")).withColumn("block", F.floor(F.col("slot") / F.lit(BLOCK)))
+    blocks = sums.groupBy(F.col("source").alias("_b"), F.col("block").alias("_n")).agg(F.sum("slot_size").alias("_size"))
+    before = blocks.withColumn("_before", F.sum("_size").over(Window.partitionBy("_b").orderBy("_n")) - F.col("_size")).drop("_size")
+    inner = F.sum("slot_size").over(Window.partitionBy("source", "block").orderBy("slot")) - F.col("slot_size")
+    starts = sums.withColumn("_inner", inner).join(before, F.expr("source <=> _b AND block = _n")).select(F.col("source").alias("_s"), F.col("slot").alias("_k"), (F.col("_before") + F.col("_inner")).alias("ahead"))
     three = two.join(starts, F.expr("source <=> _s AND slot = _k")).drop("_s", "_k")
     within = Window.partitionBy("source", "slot").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     end = three.withColumn("end", F.col("ahead") + F.sum("size").over(within))
-    quota = F.floor("target").cast("long")
-    full = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
-    rest = quota - full * F.col("source_size")
-    served = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - (F.col("end") - F.col("size"))))
-    out = end.withColumn("full", full).withColumn("served", served)
-    whole = (F.col("size") > 0) & (F.col("served") == F.col("size"))
-    out = out.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("target") > 0, F.col("end") / F.col("target")).alias("finish"), (F.col("full") + whole.cast("long")).alias("copies"), F.when(whole, 0).otherwise(F.col("served")).alias("part"), (F.col("full") * F.col("size") + F.col("served")).alias("taken"), "place", "slot")
-    return out
+    at = lambda words: F.when(F.col("target") > 0, words / F.col("target"))  # noqa: E731  the virtual time when the source has sent so many words
+    offers = [(at(F.col("end") + p * F.col("source_size")), at(F.col("end") + p * F.col("source_size") - F.col("size"))) for p in range(math.ceil(most))]
+    copies, part = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for finish, start in offers:
+        whole = F.coalesce((finish <= 1) & (F.col("size") > 0), F.lit(False))
+        cut = F.coalesce((start < 1) & (finish > 1), F.lit(False))
+        copies, part = copies + whole.cast("long"), part + F.when(cut, F.floor((1 - start) * F.col("target") + 1e-6)).otherwise(0)
+    out = end.withColumn("finish", offers[0][0]).withColumn("copies", copies).withColumn("part", part)
+    return out.select("doc_id", "source", "size", "source_size", "target", "finish", "copies", "part", (F.col("copies") * F.col("size") + F.col("part")).alias("taken"), "place", "slot")
 
 
 def take(docs: DataFrame, columns: list[str], weights: tuple = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:

@@ -178,8 +178,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
     """Pieces of documents packed into sequences of at most `window` tokens.
 
     A document's ids, then `end`, are cut into full windows and one rest; best-fit decreasing
-    places the pieces, shard by shard, a shard being a hash of doc_id and start, SHARD pieces
-    on average whatever the table's size. Returns doc_id, start, length, ids_crc32,
+    places the pieces, shard by shard, a shard being a hash of a piece and its place in the
+    staged table (so rows that repeat are dealt out), SHARD pieces on average whatever the
+    table's size. Returns doc_id, start, length, ids_crc32,
     doc_tokens, sequence_id, offset. Null, empty and blank texts are one piece of `end` alone;
     very long texts give many full windows; repeated rows are packed like others; an empty
     table gives no piece; other columns are ignored.
@@ -187,7 +188,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
     pieces = common.stage(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_cut(path, window, end), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     shards = max(1, -(-pieces.count() // SHARD))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    dealt = pieces.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, start), {shards}) as int)"))
+    dealt = pieces.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, start, ids_crc32, monotonically_increasing_id()), {shards}) as int)"))
     return dealt.groupBy("shard").applyInArrow(_pack(window, shards), schema)
 
 

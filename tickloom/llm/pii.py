@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -16,6 +17,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 #: Characters that a window holds, and by which neighbouring windows overlap.
 WIDTH, OVERLAP = 96, 32
+#: Documents whose windows train the tagger, at most.
+TRAIN_DOCS = 400
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -116,18 +119,25 @@ class Tagger:
         return feat @ p["o"] + p["c"], feat, both, mem
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each window (Viterbi)."""
-        e = self.run(ids)[0]
+        """The best tag sequence of each window."""
+        return self.best(self.run(ids)[0], np.full(len(ids), ids.shape[1]))
+
+    def best(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tag sequence under emissions e (place, text, tag), each text's first `length` places (Viterbi)."""
         w, n, _ = e.shape
+        rows = np.arange(n)
         score, back = e[0] + self.p["s"], np.empty((w, n, TAGS), np.uint8)
+        last = score.argmax(1)
         for t in range(1, w):
             m = score[:, :, None] + self.p["t"]
             back[t] = m.argmax(1)
             score = m.max(1) + e[t]
-        out = np.empty((n, w), np.uint8)
-        out[:, -1] = score.argmax(1)
-        for t in range(w - 1, 0, -1):
-            out[:, t - 1] = back[t][np.arange(n), out[:, t]]
+            ends = lengths == t + 1
+            last[ends] = score[ends].argmax(1)
+        out, now = np.zeros((n, w), np.uint8), last
+        for t in range(w - 1, -1, -1):
+            now = np.where(t < lengths - 1, back[min(t + 1, w - 1)][rows, now], last)
+            out[:, t] = now
         return out
 
     def step(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
@@ -195,41 +205,48 @@ def train(windows: list[str], spans: list[list[tuple[str, int, int]]], epochs: i
     return model
 
 
-def labelled(rows: int, seed: int = 11) -> tuple[list[str], list[list[tuple[str, int, int]]]]:
-    """Windows with labelled spans, made from a seed: personal data in several spellings among prose, dates, prices and versions."""
-    r = np.random.default_rng(seed)
+_SYLLABLES = ["an", "the", "er", "tion", "re", "ou", "st", "en", "la", "que", "ch", "und", "ge", "ó", "é", "ß", "mo", "ra", "ti", "ble"]
+
+
+def made(r: np.random.Generator) -> tuple[str | None, str]:
+    """A kind and an item of it in one of several spellings; or none, and a date, price, version or other number."""
     pick = lambda xs: xs[int(r.integers(len(xs)))]
     num = lambda n: "".join(map(str, r.integers(0, 10, n)))
-    syl = ["an", "the", "er", "tion", "re", "ou", "st", "en", "la", "que", "ch", "und", "ge", "ó", "é", "ß", "mo", "ra", "ti", "ble"]
-    word = lambda: "".join(pick(syl) for _ in range(int(r.integers(1, 5))))
+    word = lambda: "".join(pick(_SYLLABLES) for _ in range(int(r.integers(1, 5))))
 
     def card(sep):
         d = num(int(pick([15, 15, 15, 12, 14, 17])))
         d = next(d + str(c) for c in range(10) if luhn(d + str(c)))
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4)) if sep else d
 
-    def item():
-        kind = int(r.integers(9))
-        if kind < 2:
-            name = pick([word() + "." + word(), word() + num(2), word()])
-            name = re.sub("[^a-z0-9.]", "x", name)
-            host = re.sub("[^a-z0-9]", "x", word()) + pick(["", num(1)]) + "." + pick(["example.com", "org", "net", "co.uk"])
-            return "email", pick(["{}@{}"] * 4 + ["{} @ {}", "{}@ {}"]).format(name, host)
-        if kind == 2:
-            return "ip", ".".join(str(r.integers(0, 256)) for _ in range(4))
-        if kind == 3:
-            return "card", card(pick(["", " ", "-", "-", ".", " - "]))
-        if kind < 6:
-            a, b, c = num(3), num(3), num(4)
-            return "phone", pick(["+1 ({}) {}-{}", "+{}{} {}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "+49 {} {} {}", "tel:{} {} {}"]).format(a, b, c).removeprefix("tel:")
-        return None, pick([lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(2)}/{num(2)}/20{num(2)}", lambda: f"${num(2)}.{num(2)}", lambda: "v1." + num(1) + "." + num(1), lambda: num(int(r.integers(1, 10))), lambda: "#" + num(5), lambda: "@" + word(), lambda: num(2) + ":" + num(2), lambda: num(4) + "-" + num(4), lambda: word() + num(2), lambda: "AKIA" + num(3) + "QZ" + num(5), lambda: "=" + num(6) + "ab" + num(6)])()
+    kind = int(r.integers(9))
+    if kind < 2:
+        name = pick([word() + "." + word(), word() + num(2), word()])
+        name = re.sub("[^a-z0-9.]", "x", name)
+        host = re.sub("[^a-z0-9]", "x", word()) + pick(["", num(1)]) + "." + pick(["example.com", "org", "net", "co.uk"])
+        return "email", pick(["{}@{}"] * 4 + ["{} @ {}", "{}@ {}"]).format(name, host)
+    if kind == 2:
+        return "ip", ".".join(str(r.integers(0, 256)) for _ in range(4))
+    if kind == 3:
+        return "card", card(pick(["", " ", "-", "-", ".", " - "]))
+    if kind < 6:
+        a, b, c = num(3), num(3), num(4)
+        return "phone", pick(["+1 ({}) {}-{}", "+{}{} {}", "({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "+49 {} {} {}", "tel:{} {} {}"]).format(a, b, c).removeprefix("tel:")
+    return None, pick([lambda: f"20{num(2)}-{num(2)}-{num(2)}", lambda: f"{num(2)}/{num(2)}/20{num(2)}", lambda: f"${num(2)}.{num(2)}", lambda: "v1." + num(1) + "." + num(1), lambda: num(int(r.integers(1, 10))), lambda: "#" + num(5), lambda: "@" + word(), lambda: num(2) + ":" + num(2), lambda: num(4) + "-" + num(4), lambda: word() + num(2), lambda: "AKIA" + num(3) + "QZ" + num(5), lambda: "=" + num(6) + "ab" + num(6)])()
+
+
 
+def labelled(rows: int, seed: int = 11) -> tuple[list[str], list[list[tuple[str, int, int]]]]:
+    """Windows with labelled spans, made from a seed: personal data in several spellings among prose, dates, prices and versions."""
+    r = np.random.default_rng(seed)
+    pick = lambda xs: xs[int(r.integers(len(xs)))]
+    word = lambda: "".join(pick(_SYLLABLES) for _ in range(int(r.integers(1, 5))))
     texts, spans = [], []
     while len(texts) < rows:
         text, own = "", []
         while len(text) < WIDTH:
             if r.random() < 0.2:
-                kind, s = item()
+                kind, s = made(r)
                 if kind and len(text) + len(s) < WIDTH:
                     own.append((kind, len(text), len(text) + len(s)))
                 text += s + pick([" ", " ", ". ", ", "])
@@ -245,6 +262,47 @@ def default_tagger(rows: int = 1500) -> Tagger:
     return train(*labelled(rows))
 
 
+def _cut(seed: int, each: int):
+    """Windows of real texts with labelled spans: base spans, and a made item in a spelling of labelled() in every other one."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for text in b.column("text").to_pylist():
+                base, r = base_spans(text), np.random.default_rng((seed, len(text), zlib.crc32(text.encode())))
+                starts = [max(0, s[1] - int(r.integers(0, WIDTH // 2))) for s in base[:each]] + [int(r.integers(0, max(1, len(text) - WIDTH))) for _ in range(each)]
+                for n, s in enumerate(starts):
+                    window = text[s : s + WIDTH]
+                    own = [(k, a - s, e - s) for k, a, e in base if s <= a and e <= s + WIDTH]
+                    if any(a < s + WIDTH and e > s and not (s <= a and e <= s + WIDTH) for _, a, e in base):
+                        continue  # a span is cut
+                    if n % 2 and not own:
+                        kind, item = made(r)
+                        at = window.rfind(" ", 0, max(1, int(r.integers(1, WIDTH)))) + 1
+                        window = window[:at] + item + " " + window[at:]
+                        own = [(kind, at, at + len(item))] if kind and at + len(item) <= WIDTH else []
+                        window = window[: at if kind and not own else WIDTH]
+                    if window:
+                        rows.append((window, ",".join(f"{k}:{a}:{e}" for k, a, e in own)))
+            yield pa.record_batch([pa.array([x[i] for x in rows], pa.string()) for i in (0, 1)], names=["window", "spans"])
+
+    return run
+
+
+def fit_tagger(docs: DataFrame, documents: int = TRAIN_DOCS, each: int = 2, seed: int = 11) -> Tagger:
+    """A tagger trained on windows of real texts: of the `documents` first by a hash of id and text, `each` around base spans and `each` anywhere, and as many made ones as default_tagger's.
+
+    Null and empty texts are left out; no texts: the made windows alone.
+    """
+    sample = docs.where("length(text) > 0").select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(documents)
+    rows = sorted((r.window, r.spans) for r in sample.select("text").mapInArrow(_cut(seed, each), "window string, spans string").collect())
+    texts, spans = labelled(1500)
+    for window, own in rows:
+        texts.append(window)
+        spans.append([(k, int(a), int(b)) for k, a, b in (s.split(":") for s in own.split(",") if s)])
+    return train(texts, spans)
+
+
 def _regions(text: str, reach: int = 40) -> list[tuple[int, int]]:
     """Parts of a text at most `reach` characters from a digit or @; every kind has one of these in each span."""
     out: list[list[int]] = []
@@ -272,9 +330,14 @@ def _valid(kind: str, s: str) -> bool:
     return 9 <= len(d) <= 15 and any(c in "-. ()" for c in s) and not re.fullmatch(r"[0-9.]+\.[0-9]{1,2}", s)
 
 
-def tag(model: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[str, int, int]]]:
-    """Spans of the tagger in each text: windows overlap, each place takes the tag of the window in which it lies deepest."""
-    places = [(i, a, b) for i, t in enumerate(texts) for a, b in _regions(t)]
+def tag(model: Tagger, texts: list[str], batch: int = 512, reach: int | None = 40) -> list[list[tuple[str, int, int]]]:
+    """Spans of the tagger in each text.
+
+    Windows overlap; a place's emissions are the mean over its windows, weighed by how deep it
+    lies in each, and one Viterbi pass over the whole region decides all its tags together.
+    `reach`: see _regions; none: whole texts are read.
+    """
+    places = [(i, a, b) for i, t in enumerate(texts) for a, b in (_regions(t, reach) if reach is not None else [(0, len(t))] * bool(t))]
     cuts = []  # region, window start
     for k, (_, a, b) in enumerate(places):
         s = a
@@ -283,19 +346,32 @@ def tag(model: Tagger, texts: list[str], batch: int = 512) -> list[list[tuple[st
             if s + WIDTH >= b:
                 break
             s += WIDTH - OVERLAP
-    merged: dict[int, np.ndarray] = {}
+    sums = [np.zeros((b - a, TAGS), np.float32) for _, a, b in places]
+    mass = [np.zeros((b - a, 1), np.float32) for _, a, b in places]
+    depth = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)[:, None]
     for x in range(0, len(cuts), batch):
         part = cuts[x : x + batch]
-        got = model.decode(encode([texts[places[k][0]][s : min(s + WIDTH, places[k][2])] for k, s in part], WIDTH))
-        for (k, s), row in zip(part, got):
-            _, a, b = places[k]
-            own = merged.setdefault(k, np.zeros(b - a, np.uint8))
-            lo = s - a + (OVERLAP // 2 if s > a else 0)
-            hi = min(s - a + WIDTH, b - a)
-            own[lo:hi] = row[lo - (s - a) : hi - (s - a)]
+        got = model.run(encode([texts[places[k][0]][s : min(s + WIDTH, places[k][2])] for k, s in part], WIDTH))[0]
+        for n, (k, s) in enumerate(part):
+            lo, hi = s - places[k][1], min(s + WIDTH, places[k][2]) - places[k][1]
+            sums[k][lo:hi] += got[: hi - lo, n] * depth[: hi - lo]
+            mass[k][lo:hi] += depth[: hi - lo]
+    found: dict[int, np.ndarray] = {}
+    by_length, at = sorted(range(len(places)), key=lambda k: len(sums[k])), 0
+    while at < len(by_length):
+        to = at + 1
+        while to < len(by_length) and (to + 1 - at) * len(sums[by_length[to]]) <= 200_000:
+            to += 1
+        own = by_length[at:to]
+        e = np.zeros((len(sums[own[-1]]), len(own), TAGS), np.float32)
+        for n, k in enumerate(own):
+            e[: len(sums[k]), n] = sums[k] / mass[k]
+        tags = model.best(e, np.array([len(sums[k]) for k in own]))
+        found.update((k, tags[n, : len(sums[k])]) for n, k in enumerate(own))
+        at = to
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for k, tags in merged.items():
-        i, a, _ = places[k]
+    for k in sorted(found):
+        (i, a, _), tags = places[k], found[k]
         j = 0
         while j < len(tags):
             if not tags[j]:
@@ -368,10 +444,10 @@ def detect(docs: DataFrame, model: Tagger | None = None, keep: tuple = (), clean
     base_sha256, spans (base and tagger), and clean, the text with all spans replaced, if
     asked for. Null, empty and blank texts have no spans (null stays null in clean); very long
     texts are matched in linear time and tagged in windows; repeated rows get equal rows; an
-    empty table gives none; columns that are not asked for are ignored. The tagger is trained
-    on the driver from seeded labelled windows and has a fixed size.
+    empty table gives none; columns that are not asked for are ignored. The tagger is
+    fit_tagger's of the table unless one is given, and has a fixed size.
     """
-    model = model or default_tagger()
+    model = model or fit_tagger(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model.p)
     kinds = dict(docs.dtypes)
     cols = ["doc_id", *[c for c in keep if c != "doc_id"]]

@@ -16,7 +16,7 @@ SEED = 42
 #: Reference fingerprints of the pivot table (seeded, so that every task has the same).
 PIVOTS = np.random.default_rng(64).integers(0, 2**63, 24, dtype=np.uint64) * np.uint64(2) + (np.arange(24, dtype=np.uint64) & np.uint64(1))
 #: Fingerprints in a cell; larger blocks are split into a grid of cells that covers all their pairs.
-CELL = 2048
+CELL = 1 << 14
 
 
 def fingerprint(text: bytes, k: int = 3) -> int:

@@ -6,14 +6,16 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 K, SEGMENTS, EVERY = 10, 4, 50
-#: Codes of an index shard and queries of a block, on average, whatever the table's size.
-SHARD, BLOCK = 1 << 15, 1 << 10
+#: Codes of an index shard, on average, whatever the table's size.
+SHARD = 1 << 20
+#: Queries of a block, on average, and blocks at most: more queries make longer blocks then, as the index is copied to each block.
+BLOCK, BLOCKS = 1 << 7, 64
 
 
 def _masks(bits: int, radius: int) -> np.ndarray:
@@ -81,7 +83,7 @@ def _search(k: int):
 
 
 def sign_codes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, code): bit i of a 64-bit code says that component i is above 0; null vectors and ids go, a vector of over 64 components is an error."""
+    """(vec_id, code): bit i of a 64-bit code says that component i is above 0 (null, absent and NaN are not); null vectors and ids go, a vector of over 64 components is an error; other columns are ignored."""
     bits = " + ".join(f"if(coalesce(get(embedding, {i}), 0) > 0, {1 << i}L, 0L)" for i in range(63))
     code = f"({bits}) | if(coalesce(get(embedding, 63), 0) > 0, shiftleft(1L, 63), 0L)"
     whole = f"if(size(embedding) > 64, raise_error('embeddings of over 64 components do not fit a 64-bit code'), {code})"
@@ -93,20 +95,23 @@ def search(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     codes: (vec_id, code); queries: (query_id, code). Rows of one code are kept as their k
     smallest ids, so a hot code is one index entry. Index shards, a hash of the code, meet
-    blocks of queries; each search is exact in its shard, and the shards' best are merged. A
+    blocks of queries, so the index is copied BLOCKS times at most and a query once for each
+    SHARD codes; each search is exact in its shard, and the shards' best are merged. A
     query finds itself if it is in the index. Fewer than k rows: all of them. Empty tables: no
     rows. Repeated rows are one, of codes and of queries.
     """
     distinct, queries = codes.distinct(), queries.select("query_id", "code").distinct()
     n, m = distinct.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
-    salted = distinct.withColumn("salt", F.expr("pmod(xxhash64(vec_id), 64)")).groupBy("code", "salt").agg(F.expr(f"slice(sort_array(collect_list(vec_id)), 1, {k})").alias("ids"))
-    classes = salted.groupBy("code").agg(F.expr(f"slice(sort_array(flatten(collect_list(ids))), 1, {k})").alias("ids"))
+    shards, blocks = max(1, -(-n // SHARD)), min(BLOCKS, max(1, -(-m // BLOCK)))
+    salted = Window.partitionBy("code", F.expr("pmod(xxhash64(vec_id), 64)")).orderBy("vec_id")
+    least = distinct.withColumn("place", F.row_number().over(salted)).where(F.col("place") <= k)  # Spark limits each group before it sorts
+    classes = least.groupBy("code").agg(F.expr(f"slice(sort_array(collect_list(vec_id)), 1, {k})").alias("ids"))
     index = classes.select("code", "ids", F.expr(f"cast(pmod(xxhash64(code), {shards}) as int)").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asked = queries.select("query_id", "code", F.expr(f"cast(pmod(xxhash64(query_id), {blocks}) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    near = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(k), "query_id long, vec_id long, distance int")
-    best = near.groupBy("query_id").agg(F.expr(f"slice(array_sort(collect_list(struct(distance, vec_id))), 1, {k})").alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "b.vec_id", "b.distance")
+    tasks = shards * blocks  # said, so that adaptive execution doesn't join them: codes are small, searches long
+    near = index.repartition(tasks, "shard", "block").groupBy("shard", "block").cogroup(asked.repartition(tasks, "shard", "block").groupBy("shard", "block")).applyInArrow(_search(k), "query_id long, vec_id long, distance int")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
+    return near.select("query_id", rank.cast("int").alias("rank"), "vec_id", "distance").where(F.col("rank") <= k)
 
 
 def op9_topk_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
