@@ -65,19 +65,24 @@ def unstage(df: DataFrame) -> None:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, label), label the smallest node reachable.
 
-    Minimum labels spread over the links with pointer jumping, so rounds grow with the
-    logarithm of the longest path. A round is equi-joins and a pre-aggregated minimum; a hot
-    node is an ordinary skewed join key, which adaptive execution splits. Every round is staged.
-    No edges: no rows.
+    A node's label is a node known to hang together with it, at most itself. In a round a node
+    takes the smallest of its label's label and its neighbours' labels' labels, and so does the
+    node that its label names: labels double their reach, and regions hook on to each other,
+    so rounds grow with the logarithm of the longest path. A round is equi-joins and pre-aggregated
+    minima; a hot node or label is an ordinary skewed join key, which adaptive execution
+    splits. Every round is staged. No edges: no rows.
     """
     both = stage(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))).where("src <> dst").distinct(), "links")
     labels = stage(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")), "labels")
     while labels.where("moved").limit(1).count():
-        best = both.join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src").agg(F.min("label").alias("near"))
-        one = labels.join(best.withColumnRenamed("src", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        two = stage(one.join(up, "label", "left").select("node", F.least("label", F.coalesce("jump", "label")).alias("label"), (F.least("label", F.coalesce("jump", "label")) != F.col("old")).alias("moved")), "labels")
-        unstage(labels)
+        jump = labels.select("node", "label").join(again(labels).select(F.col("node").alias("label"), F.col("label").alias("grand")), "label")
+        jump = stage(jump.select("node", "label", "grand"), "jumps")
+        near = both.join(again(jump).select(F.col("node").alias("dst"), "grand"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("grand").alias("near"))
+        one = jump.join(near, "node")
+        hook = one.groupBy("label").agg(F.min("near").alias("hook")).select(F.col("label").alias("node"), "hook")
+        low = F.least("label", "grand", "near", F.coalesce("hook", "label"))
+        two = stage(one.join(hook, "node", "left").select("node", low.alias("label"), (low != F.col("label")).alias("moved")), "labels")
+        unstage(labels), unstage(jump)
         labels = two
     unstage(both)
     out = labels.select("node", "label")

@@ -9,6 +9,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def _chunks(batches):
     """Tables of about CHUNK_BYTES of text; a chunk is what a task counts or scores at once."""
     held, size = [], 0
     for b in batches:
-        lengths = np.array([0 if n is None else n for n in pa.compute.binary_length(b.column("text")).to_pylist()], np.int64)
+        lengths = np.array([0 if n is None else n for n in pc.binary_length(b.column("text")).to_pylist()], np.int64)
         at = 0
         while at < b.num_rows:
             total = size + np.cumsum(lengths[at:] + 1)

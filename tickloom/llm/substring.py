@@ -15,6 +15,8 @@ from .exchange import buckets_of, ordered, pack, unpack
 from .textkit import windows, word_hashes
 
 K = 13
+#: Bytes of what others ask of one chunk that a task verifies, on average.
+ASK_BYTES = 2 << 20
 _SENT = "bucket int, chunk int, rank int, edges binary"
 _ANSWER = "chunk int, bucket int, seen binary, wanted binary, source binary"
 _MARKED = "kind string, chunk int, back int, id long, doc_id long, start long, words string, nodes array<long>, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>"
@@ -235,7 +237,8 @@ def repeated(docs: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     buckets: those that occur under two doc_ids are the repeated edges, and the chunk that
     holds one first is its source. Of each repeated edge the first occurrence is in one walk;
     the graph of walks is compacted (see compact), and each repeated stretch of a document is
-    laid along the segments of the paths at its source, where all its words are compared.
+    laid along the segments of the paths at its source, where all its words are compared (a
+    chunk of which much is asked is compared in several tasks).
     Windows whose words differ (edges whose hashes collide) are not removed; a collision may
     also hide a repeat. `bits` of the hash count.
 
@@ -249,7 +252,10 @@ def repeated(docs: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     marked = common.stage(source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(k, bits, n), _MARKED), "marked")
     segments = compact(common.again(marked).where("kind = 'walk'").select("id", "chunk", "doc_id", "start", "words", "nodes"), k)
     asks = marked.where("kind = 'ask'").select("chunk", "back", "words")
-    spans = common.stage(segments.groupBy("chunk").cogroup(asks.groupBy("chunk")).applyInArrow(_verify(k, bits), _SPANS), "spans")
+    parts = asks.groupBy("chunk").agg(F.ceil(F.sum(F.octet_length("words")) / ASK_BYTES).cast("int").alias("parts"))
+    held = segments.join(common.again(parts := common.stage(parts, "ask-parts")), "chunk").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
+    dealt = asks.join(parts, "chunk").withColumn("part", F.expr("cast(pmod(xxhash64(words), parts) as int)"))
+    spans = common.stage(held.groupBy("chunk", "part").cogroup(dealt.groupBy("chunk", "part")).applyInArrow(_verify(k, bits), _SPANS), "spans")
     out = marked.where("kind = 'doc'")
     bad = spans.where("edges IS NOT NULL")
     if bad.limit(1).count():
