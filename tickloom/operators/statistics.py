@@ -95,13 +95,6 @@ def skew0(value: str) -> Column:
     return F.when(var > 1e-10, (F.avg(x * x * x) - 3 * m * F.avg(x * x) + 2 * m * m * m) / F.pow(var, 1.5)).otherwise(0.0)
 
 
-def features(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The wide reducer: mean, median, std, skew, max, min, range, quantiles, iqr and cv of each group."""
-    q = F.percentile(value, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    a = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), skew0(value).alias("skew"), F.max(value).alias("max"), F.min(value).alias("min"), q.alias("_q"))
-    return a.select(*by, "n", "mean", "std", "skew", "max", "min", (F.col("max") - F.col("min")).alias("range"), *[F.col("_q")[i].alias(c) for i, c in enumerate(("p5", "p25", "median", "p75", "p95"))], (F.col("_q")[3] - F.col("_q")[1]).alias("iqr"), F.when(F.col("mean") != 0, F.col("std") / F.col("mean")).alias("cv"))
-
-
 def word_set(text: Column, alnum: bool = True) -> Column:
     t = F.regexp_replace(F.lower(text), "[^a-z0-9\\s]", "") if alnum else F.lower(text)
     return F.array_distinct(F.filter(F.split(t, "\\s+"), lambda w: w != ""))
@@ -123,3 +116,41 @@ def word_difference(a: Column, b: Column) -> Column:
 def word_counts(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """Sentence vectors, long: (key, word, n); lower case, '.' dropped, words between white space."""
     return df.select(*key, F.explode(F.split(F.regexp_replace(F.lower(text), "\\.", ""), "\\s+")).alias("word")).where("word <> ''").groupBy(*key, "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _shares(df: DataFrame, by: list[str], key: str, volume: str, name: str) -> DataFrame:
+    """Entropy (natural log) of the keys' shares of the volume, by group."""
+    v = df.groupBy(*by, key).agg(F.sum(volume).alias("_v")).where("_v > 0")
+    return v.groupBy(*by).agg((F.log(F.sum("_v")) - F.sum(F.col("_v") * F.log("_v")) / F.sum("_v")).alias(name))
+
+
+def order_entropy(df: DataFrame, by: list[str], order: list[str], key: str, volume: str, index: int, ts: str | None = None, seconds: int = 0) -> DataFrame:
+    """By series: entropy of orders' shares of the volume up to row `index` (from 0) and, with `ts`, in the next `seconds` whole seconds."""
+    w = Window.partitionBy(*by)
+    t = df.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1)
+    keep = F.col("_i") <= index
+    if ts:
+        second = F.unix_seconds(F.col(ts).cast("timestamp"))
+        keep = keep | F.coalesce(second <= F.max(F.when(F.col("_i") == index, second)).over(w) + seconds, F.lit(False))
+    return _shares(t.withColumn("_keep", keep).where("_keep"), by, key, volume, "entropy")
+
+
+def entropy_changes(df: DataFrame, by: list[str], order: list[str], ts: str, key: str, volume: str, price: str, seconds: int, low: bool = False, top: int | None = None) -> DataFrame:
+    """At each new high (or low) of the price but the first row: by, the last order column, change of orders' entropy when the next `seconds` whole seconds are added to the rows so far.
+
+    Rows without a later one in that time have none; `top`: only the highest (lowest) so many.
+    New highs are few (about the logarithm of a series' rows), so a series is joined with its own.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    p = -F.col(price) if low else F.col(price)
+    t = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_s", F.unix_seconds(F.col(ts).cast("timestamp"))).withColumn("_p", p)
+    t = t.withColumn("_top", F.max("_p").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    highs = t.where("_i = 0 OR _p > _top")
+    if top:
+        highs = highs.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_p").desc()))).where(F.col("_place") <= top)
+    tie = order[-1]
+    h = highs.where("_i > 0").select(*by, F.col(tie), F.col("_i").alias("_hi"), F.col("_s").alias("_hs"))
+    each = t.select(*by, F.col(key).alias("_key"), F.col(volume).alias("_vol"), "_i", "_s").join(h, by).where(f"_i <= _hi OR _s <= _hs + {seconds}")
+    later = each.groupBy(*by, tie).agg(F.max(F.col("_i") > F.col("_hi")).alias("_later")).where("_later").drop("_later")
+    before, after = _shares(each.where("_i <= _hi"), [*by, tie], "_key", "_vol", "_b"), _shares(each, [*by, tie], "_key", "_vol", "_a")
+    return after.join(before, [*by, tie]).join(later, [*by, tie]).select(*by, tie, (F.col("_a") - F.col("_b")).alias("change"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.operators import kernels, microstructure, relational, statistics, windows
+from tickloom.operators import features, kernels, microstructure, relational, statistics, windows
 from tickloom.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,23 +32,29 @@ def r(c: Column | str, digits: int = 6) -> Column:
 _TRADES = """trades AS (SELECT l_suppkey AS code, l_orderkey * 8 + l_linenumber AS seq, l_shipdate AS ts, l_extendedprice / l_quantity AS price,
   l_quantity AS volume, l_extendedprice AS turnover, CASE l_returnflag WHEN 'R' THEN 66 WHEN 'A' THEN 83 ELSE 32 END AS flag, l_orderkey AS ask_order, l_partkey AS bid_order FROM lineitem)"""
 
+#: Trades with a number of their own, as seq repeats.
+_ROWS = "u AS (SELECT *, row_number() OVER (ORDER BY seq, ts, turnover, bid_order, code) AS rid FROM trades)"
+
 # --- time windows over events by user -------------------------------------------------------
 
-_KEY = "e AS (SELECT *, epoch_us(ts) * 2048 + row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) - 1 AS k FROM events)"
 _W = 3600.0 * 24
-_FAR = int(_W * 1e6) * 2048 + 1023
+#: Each row with the rows of its window, found by plain comparison of times.
+_PAIRS = """p AS (SELECT a.event_id, a.value AS own, b.value, b.ts, b.event_id AS other, b.i FROM e a LEFT JOIN e b ON a.user_id = b.user_id AND {}),
+  e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"""
 
 
-def _frame(back: bool, current: bool = True) -> str:
-    edge = f"{_FAR} PRECEDING AND {'CURRENT ROW' if current else '1 PRECEDING'}" if back else f"{'CURRENT ROW' if current else '1 FOLLOWING'} AND {_FAR} FOLLOWING"
-    return f"(PARTITION BY user_id ORDER BY k RANGE BETWEEN {edge})"
+def _in_window(back: bool, current: bool = True) -> str:
+    least = "b.i <= a.i" if back else "b.i >= a.i"
+    edge = "b.ts >= a.ts - INTERVAL 1 DAY" if back else "b.ts <= a.ts + INTERVAL 1 DAY"
+    e, p = reversed(_PAIRS.format(f"{least if current else least.replace('=', '')} AND {edge}").split("),\n  "))
+    return f"{e}, {p})"
 
 
 _STAT = {
-    "mean": "avg(value) OVER w", "sum": "sum(value) OVER w", "max": "max(value) OVER w", "min": "min(value) OVER w", "count": "count(value) OVER w", "last": "last_value(value) OVER w", "first": "first_value(value) OVER w",
-    "std": "CASE WHEN count(value) OVER w > 1 THEN stddev_samp(value) OVER w END", "median": "quantile_cont(value, 0.5) OVER w",
-    "skew": "CASE WHEN count(value) OVER w > 2 AND var_pop(value) OVER w > 1e-9 THEN (avg(value ** 3) OVER w - 3 * avg(value) OVER w * avg(value ** 2) OVER w + 2 * (avg(value) OVER w) ** 3) / ((avg(value ** 2) OVER w - (avg(value) OVER w) ** 2) ** 1.5) END",
-    "trend_time": "CASE WHEN count(value) OVER w > 2 AND stddev_pop(value) OVER w > 0 THEN corr(epoch_us(ts) / 1e6 - 1.6e9, value) OVER w END",
+    "mean": "avg(value)", "sum": "sum(value)", "max": "max(value)", "min": "min(value)", "count": "count(value)", "last": "arg_max(value, i)", "first": "arg_min(value, i)",
+    "std": "stddev_samp(value)", "median": "quantile_cont(value, 0.5)", "rank": "CASE WHEN count(value) > 1 THEN (sum((value < own)::INT) + (sum((value = own)::INT) - 1) / 2.0) / (count(value) - 1) END",
+    "skew": "CASE WHEN count(value) > 2 AND var_pop(value) > 1e-9 THEN (avg(value ** 3) - 3 * avg(value) * avg(value ** 2) + 2 * avg(value) ** 3) / ((avg(value ** 2) - avg(value) ** 2) ** 1.5) END",
+    "trend_time": "CASE WHEN count(value) > 2 AND stddev_pop(value) > 0 THEN corr(epoch_us(ts) / 1e6 - 1.6e9, value) END", "trend_oneton": "CASE WHEN count(value) > 2 AND stddev_pop(value) > 0 THEN corr(i, value) END",
 }
 
 
@@ -58,15 +64,15 @@ def _rolling(kind: str, back: bool, current: bool = True):
 
 for _back, _word in ((False, "future"), (True, "past")):
     for _kind, _sql in _STAT.items():
-        if (_kind, _back) not in (("first", False), ("last", True)):
-            add(f"rolling_{_word}_{_kind}", _rolling(_kind, _back), f"WITH {_KEY} SELECT event_id, round(({_sql}) + 1e-9, 4) AS {_kind} FROM e WINDOW w AS {_frame(_back)}")
-    add(f"rolling_{_word}_mean_without_current", _rolling("mean", _back, False), f"WITH {_KEY} SELECT event_id, round(avg(value) OVER w + 1e-9, 4) AS mean FROM e WINDOW w AS {_frame(_back, False)}")
+        if (_kind, _back) != ("first", False):
+            add(f"rolling_{_word}_{_kind}", _rolling(_kind, _back), f"WITH {_in_window(_back)} SELECT event_id, round(({_sql}) + 1e-9, 4) AS {_kind} FROM p GROUP BY event_id")
+    add(f"rolling_{_word}_mean_without_current", _rolling("mean", _back, False), f"WITH {_in_window(_back, False)} SELECT event_id, round(avg(value) + 1e-9, 4) AS mean FROM p GROUP BY event_id")
 
 add("find_local_peaks_within_window", lambda t: windows.local_peaks(t("events"), ["user_id"], "ts", "event_id", "value", _W).select("event_id", "peak"),
-    f"WITH {_KEY} SELECT event_id, coalesce(max(value) OVER w <= value, true) AS peak FROM e WINDOW w AS {_frame(False, False)}")
-_FOLLOW = f"WITH {_TRADES}, e AS (SELECT *, epoch_us(ts) * 2048 + row_number() OVER (PARTITION BY %s, ts ORDER BY seq) - 1 AS k FROM trades) SELECT seq, CASE WHEN count(*) OVER w > 1 THEN sum(volume) OVER w END AS follow FROM e WINDOW w AS (PARTITION BY %s ORDER BY k RANGE BETWEEN CURRENT ROW AND {_FAR * 300} FOLLOWING)"
-for _name, _by in (("find_follow_volume_sum_same_price", "bid_order, volume"), ("find_follow_volume_sum_same_price_and_flag", "bid_order, volume, flag")):
-    add(_name, lambda t, by=_by: windows.follow_sum(t("trades"), by.split(", "), "ts", "seq", "volume", _W * 300).select("seq", "follow"), (_FOLLOW % (_by, _by)).replace(str(_FAR * 300), str(int(_W * 300 * 1e6) * 2048 + 1023)))
+    f"WITH {_in_window(False, False)} SELECT event_id, coalesce(max(value) <= any_value(own), true) AS peak FROM p GROUP BY event_id")
+_FOLLOW = f"WITH {_TRADES}, {_ROWS} SELECT a.seq, %s AS follow FROM u a JOIN u b ON a.code = b.code AND a.price = b.price AND a.volume = b.volume%s AND (b.ts > a.ts OR b.ts = a.ts AND b.seq >= a.seq) AND b.ts <= a.ts + INTERVAL 900 DAY GROUP BY a.rid, a.seq"
+add("find_follow_volume_sum_same_price", lambda t: windows.follow_sum(t("trades"), ["code", "price", "volume"], "ts", "seq", "volume", _W * 900).select("seq", "follow"), _FOLLOW % ("CASE WHEN count(*) > 1 THEN sum(b.volume) END", ""))
+add("find_follow_volume_sum_same_price_and_flag", lambda t: windows.follow_sum(t("trades"), ["code", "price", "volume", "flag"], "ts", "seq", "volume", _W * 900, alone=True).select("seq", "follow"), _FOLLOW % ("sum(b.volume)", " AND a.flag = b.flag"))
 
 # --- joins, ranks, groups -------------------------------------------------------------------
 
@@ -77,7 +83,7 @@ add("fast_merge", lambda t: relational.merge(t("orders").select("o_orderkey", "o
     "SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 add("semi_join", lambda t: t("customer").join(t("orders").where("o_totalprice > 200000"), F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey"),
     "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
-add("resume_anti_join", lambda t: tables.remaining(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"]), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+add("resume_anti_join", lambda t: tables.remaining(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")).where("c_custkey % 3 <> 0"), ["c_custkey"]), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0)")
 _RANKS = {"average": "rank() OVER w + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0", "min": "rank() OVER w", "max": "rank() OVER w + count(*) OVER (PARTITION BY p_brand, p_size) - 1", "dense": "dense_rank() OVER w", "first": "row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey)"}
 for _m, _sql in _RANKS.items():
     add(f"rank_axis1_{_m}", lambda t, m=_m: relational.rank(t("part"), ["p_brand"], "p_size", m, first="p_partkey").select("p_partkey", "rank"), f"SELECT p_partkey, ({_sql})::DOUBLE AS rank FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size)")
@@ -116,7 +122,6 @@ add("ols", lambda t: statistics.ols(t("trades"), ["code"], "turnover", "volume")
 add("ols_residuals", lambda t: statistics.ols_residuals(t("trades"), ["code"], "turnover", "volume").select("seq", r("residual", 3).alias("residual")), f"WITH {_TRADES}, f AS (SELECT code, regr_intercept(turnover, volume) AS b0, regr_slope(turnover, volume) AS b1 FROM trades GROUP BY code) SELECT seq, round(turnover - b0 - b1 * volume, 3) AS residual FROM trades JOIN f USING (code)")
 for _name, _col in (("calculate_entropy_1d", "volume"), ("calculate_entropy_discrete_1d", "flag")):
     add(_name, lambda t, c=_col: statistics.entropy(t("trades"), ["code"], F.format_number(c, 10)).select("code", r("entropy").alias("entropy")), f"WITH {_TRADES}, c AS (SELECT code, {_col}, count(*) AS n FROM trades GROUP BY ALL) SELECT code, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS entropy FROM c GROUP BY code")
-add("calculate_base_entropy", lambda t: microstructure.order_lifetimes(t("trades")).crossJoin(F.broadcast(t("trades").agg(F.sum("volume").alias("all")))).agg(r(-F.sum(F.col("volume") / F.col("all") * F.log(F.col("volume") / F.col("all")))).alias("entropy")), f"WITH {_TRADES}, o AS (SELECT ask_order, sum(volume) AS v FROM trades GROUP BY ALL), p AS (SELECT v / (SELECT sum(v) FROM o) AS p FROM o) SELECT round(-sum(p * ln(p)), 6) AS entropy FROM p")
 _BIN = {"equal_width": "CASE WHEN max(price) OVER w > min(price) OVER w THEN least(9, floor((price - min(price) OVER w) / ((max(price) OVER w - min(price) OVER w) / 10))) ELSE 0 END", "equal_frequency": "least(9, floor((row_number() OVER (PARTITION BY code ORDER BY price, seq) - 1) * 10 / count(price) OVER w))"}
 for _m, _sql in _BIN.items():
     add(f"calculate_binned_entropy_{_m}", lambda t, m=_m: statistics.entropy(statistics.binned(t("trades"), ["code"], "price", 10, m, "seq"), ["code"], F.col("bin")).select("code", r("entropy").alias("entropy")), f"WITH {_TRADES}, b AS (SELECT code, {_sql} AS bin FROM trades WINDOW w AS (PARTITION BY code)), c AS (SELECT code, bin, count(*) AS n FROM b GROUP BY ALL) SELECT code, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS entropy FROM c GROUP BY code")
@@ -124,14 +129,25 @@ add("dct_1d", lambda t: statistics.dct(t("embeddings").where("embedding IS NOT N
     "WITH p AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS x, len(embedding) AS n FROM embeddings) SELECT vec_id, i::INT AS i, round(sum(v * cos(pi() * (x + 0.5) * i / n)), 5) AS coef FROM p, range(5) g(i) GROUP BY vec_id, i")
 add("identify_segments", lambda t: statistics.segments(t("trades"), ["code"], ["ts", "seq"], "flag").select("seq", "segment"),
     f"WITH {_TRADES}, a AS (SELECT *, CASE WHEN lag(flag) OVER w <> flag THEN 1 ELSE 0 END AS x, row_number() OVER w AS rn FROM trades WINDOW w AS (PARTITION BY code ORDER BY ts, seq)) SELECT seq, CASE WHEN rn = 1 THEN 0 ELSE sum(x) OVER (PARTITION BY code ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) + 1 END::BIGINT AS segment FROM a")
-add("to_uniform", lambda t: statistics.to_uniform(t("trades"), ["code"], "price", "seq").select("seq", r("u").alias("u")), f"WITH {_TRADES} SELECT seq, round(row_number() OVER (PARTITION BY code ORDER BY price, seq) / (count(*) OVER (PARTITION BY code) + 1), 6) AS u FROM trades")
+add("to_uniform", lambda t: statistics.to_uniform(t("trades"), ["code"], "price", "seq").select("seq", "u"), f"WITH {_TRADES} SELECT seq, row_number() OVER (PARTITION BY code ORDER BY price, seq) / (count(*) OVER (PARTITION BY code) + 1) AS u FROM trades")
 _U = "u AS (SELECT p_partkey, (p_size + 1) / 60.0::DOUBLE AS u, (p_partkey % 97 + 1) / 100.0::DOUBLE AS v FROM part)"
 _COPULA = {"clayton_copula_cdf": (statistics.clayton_cdf, "pow(pow(u, -2.0) + pow(v, -2.0) - 1, -0.5)"), "clayton_copula_pdf": (statistics.clayton_pdf, "3.0 * pow(u * v, -3.0) * pow(pow(u, -2.0) + pow(v, -2.0) - 1, -2.5)"), "gumbel_copula_cdf": (statistics.gumbel_cdf, "exp(-pow(pow(-ln(u), 2.0) + pow(-ln(v), 2.0), 0.5))")}
 for _name, (_f, _sql) in _COPULA.items():
     add(_name, lambda t, f=_f: t("part").select("p_partkey", r(f((F.col("p_size") + 1) / 60.0, (F.col("p_partkey") % 97 + 1) / 100.0, 2.0)).alias("c")), f"WITH {_U} SELECT p_partkey, round({_sql}, 6) AS c FROM u")
 add("skew_numba", lambda t: t("trades").groupBy("code").agg(r(statistics.skew0("price"), 4).alias("skew")), f"WITH {_TRADES} SELECT code, round(CASE WHEN var_pop(price) > 1e-10 THEN (avg(price ** 3) - 3 * avg(price) * avg(price ** 2) + 2 * avg(price) ** 3) / (avg(price ** 2) - avg(price) ** 2) ** 1.5 ELSE 0 END, 4) AS skew FROM trades GROUP BY code")
-add("get_features_factors", lambda t: statistics.features(t("trades"), ["code"], "volume").select("code", "n", *[r(c, 4).alias(c) for c in ("mean", "std", "max", "min", "range", "p5", "p25", "median", "p75", "p95", "iqr", "cv")]),
-    f"WITH {_TRADES} SELECT code, count(volume) AS n, round(avg(volume), 4) AS mean, round(stddev_samp(volume), 4) AS std, round(max(volume), 4) AS max, round(min(volume), 4) AS min, round(max(volume) - min(volume), 4) AS range, " + ", ".join(f"round(quantile_cont(volume, {p}), 4) AS {c}" for p, c in ((0.05, "p5"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.95, "p95"))) + ", round(quantile_cont(volume, 0.75) - quantile_cont(volume, 0.25), 4) AS iqr, round(stddev_samp(volume) / avg(volume), 4) AS cv FROM trades GROUP BY code")
+_SORTED = "o AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts, seq) AS i, count(*) OVER (PARTITION BY code) AS m, lag(volume, 1) OVER w AS l1, lag(volume, 2) OVER w AS l2, lag(volume, 3) OVER w AS l3 FROM trades WINDOW w AS (PARTITION BY code ORDER BY ts, seq)), c AS (SELECT code, quantile_cont(volume, 0.9) AS p90, quantile_cont(volume, 0.1) AS p10 FROM trades GROUP BY code)"
+_FEATURES = {
+    "mean": "avg(volume)", "median": "median(volume)", "std": "stddev_samp(volume)", "skew": "skewness(volume)", "kurt": "kurtosis(volume)", "max": "max(volume)", "min": "min(volume)", "range": "max(volume) - min(volume)",
+    "p5": "quantile_cont(volume, 0.05)", "p25": "quantile_cont(volume, 0.25)", "p75": "quantile_cont(volume, 0.75)", "p95": "quantile_cont(volume, 0.95)", "iqr": "quantile_cont(volume, 0.75) - quantile_cont(volume, 0.25)", "cv": "stddev_samp(volume) / (abs(avg(volume)) + 1e-8)",
+    **{f"autocorr{k}{s}": (f"abs(corr(volume, l{k}))" if s else f"corr(volume, l{k})") for k in (1, 2, 3) for s in ("", "_abs")}, "trend": "corr(i, volume)",
+    "period_diff": "avg(volume) FILTER (WHERE i > m - m // 3) - avg(volume) FILTER (WHERE i <= m // 3)", "period_ratio": "avg(volume) FILTER (WHERE i > m - m // 3) / (abs(avg(volume) FILTER (WHERE i <= m // 3)) + 1e-8)",
+    "mean_above_p90": "coalesce(avg(volume) FILTER (WHERE volume > p90), 0)", "mean_below_p10": "coalesce(avg(volume) FILTER (WHERE volume < p10), 0)",
+}
+for _name, _abs in (("get_features_factors", False), ("get_features_factors_single", False), ("get_features_factors_with_abs", True)):
+    _cols = features.names(3, _abs)
+    _said = {k: _FEATURES.get(k) or f"abs({_FEATURES[k.removesuffix('_abs')]})" for k in _cols}
+    add(_name, lambda t, a=_abs, cols=_cols: features.features(t("trades"), ["code"], ["ts", "seq"], "volume", 3, a).select("code", "n", *[r(F.col(c) + 1e-9, 4).alias(c) for c in cols]),
+        f"WITH {_TRADES}, {_SORTED} SELECT code, count(volume) AS n, " + ", ".join(f"round({q} + 1e-9, 4) AS {c}" for c, q in _said.items()) + " FROM o JOIN c USING (code) GROUP BY code")
 add("difference_matrix", lambda t: t("nation").select(F.col("n_nationkey").alias("i"), F.col("n_regionkey").alias("x")).crossJoin(F.broadcast(t("nation").select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("y")))).select("i", "j", (F.col("x") - F.col("y")).alias("d")), "SELECT a.n_nationkey AS i, b.n_nationkey AS j, a.n_regionkey - b.n_regionkey AS d FROM nation a, nation b")
 
 # --- text -----------------------------------------------------------------------------------
@@ -157,7 +173,6 @@ add("adjust_afternoon", lambda t: tables.adjust_afternoon(t("events").select("ev
 add("read_market_pair", lambda t: tables.melt_book(t("trades").select("seq", F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.col("price") + i * 0.01).alias("p"), F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.col("volume") * i).alias("v")), ["seq"], "p", "v").withColumn("price", r(F.col("price") + 1e-9, 4)),
     f"WITH {_TRADES} SELECT seq, i::INT AS number, round(price + i * 0.01 + 1e-9, 4) AS price, volume * i AS vol FROM trades, range(1, 11) g(i)")
 _LIFE = f"{_TRADES}, o AS (SELECT ask_order, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n, sum(volume) AS volume, sum(turnover) AS turnover FROM trades GROUP BY ask_order)"
-add("analyze_long_orders", lambda t: microstructure.order_lifetimes(t("trades")).select("ask_order", "n", "volume", r(F.col("vwap") + 1e-7, 4).alias("vwap"), "time_long"), f"WITH {_LIFE} SELECT ask_order, n, volume, round(turnover / volume + 1e-7, 4) AS vwap, last_ts > first_ts AS time_long FROM o")
 add("py_cross_section_example", lambda t: microstructure.cross_section(t("trades")).select("code", *[r(c).alias(c) for c in ("log_volume", "log_count", "vwap")]),
     f"WITH {_TRADES}, a AS (SELECT code, ln(sum(volume)) AS log_volume, ln(count(*)) AS log_count, sum(price * volume) / sum(volume) AS vwap FROM trades GROUP BY code) SELECT code, " + ", ".join(f"round(CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END, 6) AS {c}" for c in ("log_volume", "log_count", "vwap")) + " FROM a")
 add("minute_bars", lambda t: microstructure.bars(t("events"), ["event_type"], "ts", "value", 3600, "event_id").withColumn("total", r("total", 4)), "SELECT event_type, (epoch_us(ts) // 3600000000 * 3600)::BIGINT AS bucket, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, round(sum(value), 4) AS total, count(value) AS n FROM events GROUP BY ALL")
@@ -165,20 +180,14 @@ add("py_minute_example", lambda t: microstructure.series_stats(t("events"), ["us
     "WITH l AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) SELECT user_id, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std, round(max(value), 4) AS max, round(min(value), 4) AS min, round(max(value) - min(value), 4) AS range, round(CASE WHEN stddev_pop(value) FILTER (WHERE p IS NOT NULL) > 0 AND stddev_pop(p) > 0 THEN corr(value, p) END, 4) AS autocorr1 FROM l GROUP BY user_id")
 add("compute_non_breakthrough_stats", lambda t: microstructure.non_breakthrough(t("trades")),
     f"WITH {_TRADES}, a AS (SELECT code, ts::DATE AS day, price, sum(volume) AS volume FROM trades GROUP BY ALL), p AS (SELECT *, dense_rank() OVER (PARTITION BY code ORDER BY day) AS place FROM a) SELECT x.code, x.day, coalesce(sum(x.volume) FILTER (WHERE y.code IS NOT NULL), 0.0) AS seen, coalesce(sum(x.volume) FILTER (WHERE y.code IS NULL), 0.0) AS fresh FROM p x LEFT JOIN p y ON x.code = y.code AND x.place = y.place + 1 AND x.price = y.price GROUP BY x.code, x.day")
-add("order_contamination", lambda t: microstructure.nearest_order(t("trades")), f"WITH {_LIFE}, m AS (SELECT ask_order, CASE WHEN volume >= (SELECT quantile_cont(volume, 0.9) FROM o) THEN ask_order END AS big FROM o) SELECT ask_order, last_value(big IGNORE NULLS) OVER (ORDER BY ask_order ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS large_order FROM m")
-
-# --- the store ------------------------------------------------------------------------------
 
-add("factor_store_template", lambda t: t("trades").select(F.col("code").cast("string").alias("code")).distinct().select(F.concat("code", F.when(F.substring("code", 1, 1).isin("6", "9"), ".SH").when(F.substring("code", 1, 1).isin("8", "4"), ".BJ").otherwise(".SZ")).alias("stock")), "SELECT DISTINCT l_suppkey || CASE WHEN l_suppkey::VARCHAR[1] IN ('6', '9') THEN '.SH' WHEN l_suppkey::VARCHAR[1] IN ('8', '4') THEN '.BJ' ELSE '.SZ' END AS stock FROM lineitem".replace("l_suppkey::VARCHAR[1]", "(l_suppkey::VARCHAR)[1]"))
-add("query_backup_single_column_with_filter", lambda t: _daily(t).where("code IN (1, 2, 3)").select("date", "code", "value"), f"WITH {_DAILY} SELECT date, code, value FROM d WHERE code IN (1, 2, 3)")
-add("query_backup_codebook", lambda t: _daily(t).select("code").distinct(), f"WITH {_DAILY} SELECT DISTINCT code FROM d")
 
 # --- kernels --------------------------------------------------------------------------------
 
-for _name in ("lz_complexity", "hurst", "irreversibility"):
+for _name in ("lz_complexity", "irreversibility"):
     add(f"{_name}_kernel", lambda t, k=_name: t("embeddings").where("embedding IS NOT NULL").select("vec_id", kernels.apply(k, F.col("embedding")).alias("value")))
 add("dtw_distance", lambda t: t("embeddings").withColumn("nxt", F.expr("lead(embedding) OVER (PARTITION BY label ORDER BY vec_id)")).select("vec_id", kernels.apply_pair(F.col("embedding"), F.col("nxt"), 8).alias("distance")))
 
 FLAGSHIP = QUERIES["get_features_factors"]
 
-from tickloom.plans import sequence_queries  # noqa: E402, F401  (adds its queries)
+from tickloom.plans import sequence_queries, series_queries, store_queries  # noqa: E402, F401  (add their queries)

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tickloom.functions.moments import corr
-from tickloom.operators import kernels, sequences, windows
-from tickloom.plans.registry import _KEY, _LIFE, _TRADES, _W, _frame, add, r
+from tickloom.operators import kernels, sequences
+from tickloom.plans.registry import _LIFE, _TRADES, add, r
 
 _ORDER = ["ts", "seq"]
 _ROWS = "OVER (PARTITION BY code ORDER BY ts, seq ROWS BETWEEN %d PRECEDING AND CURRENT ROW)"
@@ -33,15 +32,6 @@ add("trend", lambda t: sequences.trend(t("trades"), ["code"], _ORDER, "price").s
     f"WITH {_TRADES}, i AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts, seq) AS i FROM trades) SELECT code, round(CASE WHEN count(price) > 1 AND stddev_pop(price) > 0 THEN corr(i, price) ELSE 0 END, 6) AS trend FROM i GROUP BY code")
 
 
-def _oneton(t):
-    keyed = windows.frame_key(t("events"), ["user_id"], "ts", "event_id").withColumn("_i", F.expr("row_number() OVER (PARTITION BY user_id ORDER BY _k)").cast("double"))
-    w = windows.frame(["user_id"], _W, back=True)
-    ok = (F.count("value").over(w) > 2) & (F.stddev_pop("value").over(w) > 0)
-    return keyed.select("event_id", r(F.when(ok, corr("_i", "value", w) * F.sqrt(F.count("value").over(w)))).alias("trend"))
-
-
-add("rolling_past_trend_oneton", _oneton,
-    f"WITH {_KEY}, i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS i FROM e) SELECT event_id, round(CASE WHEN count(value) OVER w > 2 AND stddev_pop(value) OVER w > 0 THEN corr(i, value) OVER w * sqrt(count(value) OVER w) END, 6) AS trend FROM i WINDOW w AS {_frame(True)}")
 add("segment_and_correlate", lambda t: sequences.runs_correlation(t("trades").withColumn("level", F.col("price") / 60), ["code"], _ORDER, "volume", "level", 4).select("code", "run", "above", "n", r("corr").alias("corr")),
     f"WITH {_TRADES}, u AS (SELECT *, price / 60 AS level, volume > price / 60 AS above FROM trades), c AS (SELECT *, CASE WHEN lag(above) OVER w <> above THEN 1 ELSE 0 END AS x FROM u WINDOW w AS (PARTITION BY code ORDER BY ts, seq)), g AS (SELECT *, sum(x) OVER (PARTITION BY code ORDER BY ts, seq)::BIGINT AS run FROM c) SELECT code, run, above, count(*) AS n, round(CASE WHEN stddev_pop(volume) > 0 AND stddev_pop(level) > 0 THEN corr(volume, level) END, 6) AS corr FROM g GROUP BY code, run, above HAVING count(*) >= 4")
 _TAIL = ", ".join(f"max(CASE WHEN p{c} = floor(n * {q}) THEN {c} END) OVER (PARTITION BY code) AS {c}{s}" for c in ("price", "volume") for s, q in (("l", 0.1), ("u", 0.9)))

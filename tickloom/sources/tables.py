@@ -41,19 +41,6 @@ def melt_book(df: DataFrame, key: list[str], prices: str, volumes: str) -> DataF
     return df.select(*key, F.posexplode(F.arrays_zip(F.col(prices).alias("price"), F.col(volumes).alias("vol"))).alias("number", "lv")).select(*key, (F.col("number") + 1).alias("number"), F.col("lv.price").alias("price"), F.col("lv.vol").alias("vol")).where("price <> 0")
 
 
-def write_factors(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to the factor store: one folder a date, sorted by code within files."""
-    df.repartition("date").sortWithinPartitions("date", "code").write.mode(mode).partitionBy("date").parquet(path)
-
-
-def read_factors(spark: SparkSession, path: str, columns: list[str] | None = None, dates: list | None = None, codes: list | None = None) -> DataFrame:
-    """A store, some factor columns, some dates (partition pruning) and codes (row-group pushdown)."""
-    df = spark.read.parquet(path)
-    df = df if dates is None else df.where(F.col("date").isin(dates))
-    df = df if codes is None else df.where(F.col("code").isin(codes))
-    return df if columns is None else df.select("date", "code", *columns)
-
-
 def remaining(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Tasks whose keys are not in the store yet: how a stopped job goes on."""
     return tasks.join(done.select(keys).distinct(), keys, "left_anti")
