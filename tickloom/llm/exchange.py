@@ -61,8 +61,8 @@ def count_chunks(docs: DataFrame, text: str = "text") -> int:
     return max(1, -(-size // CHUNK_BYTES))
 
 
-def ordered(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
-    """docs with columns chunk and rank, and the number of chunks, each of about CHUNK_BYTES.
+def ordered(docs: DataFrame, text: str = "text", share: float = 1.0) -> tuple[DataFrame, int]:
+    """docs with columns chunk and rank, and the number of chunks, each of about `share` CHUNK_BYTES.
 
     Ranks ascend with doc_id (null last), and rows of one doc_id have one rank. Quantiles of
     doc_id, 8 for each chunk, cut the ids into cells whose bytes are counted, and cells in order
@@ -70,8 +70,9 @@ def ordered(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     own, and if that holds more than a chunk, it is a rank of several chunks, dealt by a hash of
     the text. The driver sees two numbers for each cell, 16 for each chunk at most.
     """
+    limit = max(1, int(share * CHUNK_BYTES))
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).first()[0] or 0
-    cells = 8 * max(1, -(-size // CHUNK_BYTES))
+    cells = 8 * max(1, -(-size // limit))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / cells for i in range(1, cells)], 10 * cells)).first()[0]
     bounds = np.unique(np.array(cuts or [0], np.int64))
 
@@ -86,9 +87,9 @@ def ordered(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int]:
     sizes = {r.cell: r.b for r in marked.groupBy("cell").agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 1).alias("b")).collect()}
     plan, chunks, rank, room = [], 0, -1, 0
     for c in sorted(sizes):
-        parts = -(-sizes[c] // CHUNK_BYTES) if c % 2 else 1
+        parts = -(-sizes[c] // limit) if c % 2 else 1
         if parts > 1 or sizes[c] > room:
-            chunks, rank, room = chunks + parts, rank + 1, CHUNK_BYTES if parts == 1 else 0
+            chunks, rank, room = chunks + parts, rank + 1, limit if parts == 1 else 0
         room -= sizes[c]
         plan.append((c, chunks - parts, parts, rank))
     table = docs.sparkSession.createDataFrame(plan or [(0, 0, 1, 0)], "cell int, first int, parts int, rank int")

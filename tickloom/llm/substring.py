@@ -15,6 +15,8 @@ from .exchange import buckets_of, ordered, pack, unpack
 from .textkit import windows, word_hashes
 
 K = 13
+#: Share of an exchange's chunk in a chunk here, which carries answers, walks and asks besides its text.
+SHARE = 0.55
 #: Bytes of what others ask of one chunk that a task verifies, on average.
 ASK_BYTES = 2 << 20
 _SENT = "bucket int, chunk int, rank int, edges binary"
@@ -247,7 +249,7 @@ def repeated(docs: DataFrame, k: int = K, bits: int = 64) -> DataFrame:
     under k words keep all; rows with equal doc_id don't remove each other's words; a null
     doc_id is larger than any; empty table: no rows; other columns are ignored.
     """
-    source, n = ordered(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
+    source, n = ordered(docs.select("doc_id", F.col("text").cast("binary").alias("text")), share=SHARE)
     answers = source.groupBy("chunk").applyInArrow(_send(k, bits, n), _SENT).groupBy("bucket").applyInArrow(_meet, _ANSWER)
     marked = common.stage(source.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_mark(k, bits, n), _MARKED), "marked")
     segments = compact(common.again(marked).where("kind = 'walk'").select("id", "chunk", "doc_id", "start", "words", "nodes"), k)
