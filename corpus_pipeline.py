@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import common, mixing, packing, pii, simhash, toxicity
+from tickloom.llm import common, mixing, packing, pii, simhash_wide, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,7 +19,7 @@ def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component: that of the smallest doc_id, of rows with that id one, and a null id only where a component has no other.
+    """One row of each component of near copies (5-word shingles, a similarity of about 0.8 or more, by SimHash): that of the smallest doc_id, of rows with that id one, and a null id only where a component has no other.
 
     A row is known by its id and a digest of its other columns, so rows of unrelated texts that
     share an id, or have none, are told apart. The kept pairs grow with the corpus, so they meet
@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     common.small_batches(spark)
     rest = F.to_json(F.struct("lang", "source", "n_chars"))
     docs = docs.select(COLUMNS).withColumn("digest", F.sha2(F.concat(F.coalesce(F.sha2("text", 256), F.lit("")), rest), 256))
-    kept = common.stage(simhash.representatives(docs), "kept-rows")
+    kept = common.stage(simhash_wide.representatives(docs), "kept-rows")
     pair = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).hint("merge")
     out = docs.join(pair, F.expr("doc_id <=> _id AND digest = _digest"), "left_semi")
     return (out.dropDuplicates(["doc_id", "digest"]) if kept.where("n > 1").limit(1).count() else out).select(COLUMNS)
