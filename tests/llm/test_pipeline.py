@@ -129,3 +129,14 @@ def test_keys_bring_pairs_together():
         batch = pa.record_batch([pa.array(np.arange(800)), pa.array([p.tobytes() for p in np.packbits(pairs, axis=1)], pa.binary())], names=["node", "short"])
         keys = np.concatenate([b.column("key").to_numpy() for b in simhash_wide._keys(bits, tables)([batch])]).reshape(400, 2, tables)
         assert (keys[:, 0] == keys[:, 1]).any(axis=1).mean() > 0.9
+
+
+def test_links_are_few_and_join_the_same(spark):
+    random = np.random.default_rng(8)
+    raw = [(int(max(p)), int(min(p))) for p in random.integers(0, 400, (900, 2)) if p[0] != p[1]]
+    raw += [(int(a), int(b)) for a in range(1000, 2000) for b in random.integers(900, 920, 12)] + raw[:50]  # a group met in twelve tables
+    out = [tuple(r) for r in simhash_wide._starred(spark.createDataFrame(raw, "a long, b long")).collect()]
+    join = lambda pairs: simhash.roots(2000, [tuple(np.array(pairs).T)]).tolist()
+    assert join(out) == join(raw) and all(a > b for a, b in out) and len(out) == len(set(out))
+    assert sum(a >= 900 for a, _ in out) <= 1000 + 20 * 20
+    assert simhash_wide._starred(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -8,7 +8,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, simhash
@@ -133,6 +133,8 @@ def _links(batches):
             fp = np.frombuffer(b"".join(rows.field("fp").to_pylist()), np.uint64).reshape(-1, 4)
             node, chunk = rows.field("node").to_numpy(), rows.field("chunk").to_numpy()
             cell = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
+            order = np.lexsort((node, cell))  # a root is its component's smallest node, the same one in many tables
+            fp, node, chunk = fp[order], node[order], chunk[order]
             side = np.where(cross[x : x + 256][cell], chunk, -1)
             root = simhash.roots(len(fp), list(close_pairs(fp, cell, side)))
             own = np.flatnonzero(root != np.arange(len(fp)))
@@ -140,11 +142,13 @@ def _links(batches):
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that join nodes whose fingerprints meet in a table and differ in at most MOST bits.
+    """Links (a, b) with the connected components of all nodes whose fingerprints meet in a table and differ in at most MOST bits.
 
     distinct: node, fp, short. A key is a table's seeded choice of bits of short; keys with one
     node go, larger ones are cut into cells of about 2 * CELL that together hold each pair of
-    the key. Joins shuffle at every size: both sides grow with the corpus.
+    the key. Joins shuffle at every size: both sides grow with the corpus. A node has a link to
+    the smallest node of its component in each cell; of these it keeps the least, and the others are linked
+    to that one, so a large group has about a link a node, not one for each table.
     """
     bits, tables = plan(distinct.count())
     spread = distinct.select("node", "short").mapInArrow(_keys(bits, tables), "key long, node long")
@@ -153,7 +157,13 @@ def links(distinct: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("chunk", F.expr("cast(pmod(xxhash64(node), parts) as int)"))
     grid = dealt.select("key", "node", "fp", "chunk", F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
     cells = grid.groupBy("key", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).agg(F.collect_list(F.struct("node", "fp", "chunk")).alias("rows"))
-    return cells.where("size(rows) > 1").select("rows", (F.col("lo") != F.col("hi")).alias("cross")).mapInArrow(_links, "a long, b long").distinct()
+    return _starred(cells.where("size(rows) > 1").select("rows", (F.col("lo") != F.col("hi")).alias("cross")).mapInArrow(_links, "a long, b long"))
+
+
+def _starred(found: DataFrame) -> DataFrame:
+    """Links (a, b), b < a, with the same components: each a linked to its least b only, and its other b to that one."""
+    least = found.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("least"))
+    return least.select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
