@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import kernels, series, windows
 from tickloom.sources import store, tables
@@ -108,6 +109,36 @@ def test_tasks_resume_and_survive_errors(spark, tmp_path):
     assert {(r.date, r.s) for r in sums.collect()} == {(1, 7.0), (2, 7.0)}
 
 
+def test_groups_across_batches(spark):
+    """Groups longer and shorter than a batch, keys that are null, NaN or -0.0, and a group without a value."""
+    from tickloom.plans.store_queries import _spread
+
+    keys = [(k, c) for k in (None, float("nan"), -0.0, 1.5) for c in (None, "a", "b")]
+    rows = [(k, c, None if c == "b" and k == 1.5 or i == 3 else float(i)) for k, c in keys for i in range(30 if c else 2)] + [(0.0, "a", 100.0)]
+    df = spark.createDataFrame(rows, "k double, c string, volume double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = store.run_groups(df, ["k", "c"], lambda p: [*_spread(p), len(p), len(p.frame())], ["total", "spread", "n", "m"])
+        got = sorted(map(repr, map(tuple, out.collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = df.groupBy("k", "c").agg(F.sum("volume"), F.max("volume") - F.min("volume"), F.count(F.lit(1)).cast("double"), F.count(F.lit(1)).cast("double"))
+    assert got == sorted(map(repr, map(tuple, want.collect()))) and len(got) == 12
+
+
+@pytest.mark.parametrize("name", ["run_factor_pipeline"])
+def test_pipelines_batch_small_groups(spark, tmp_path, name):
+    """Groups of a task reach Python together, not one by one; a group without a value is null, as in SQL."""
+    from tickloom.plans import registry
+
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(500)
+    df.withColumn("l_quantity", F.when(F.col("l_suppkey") > 5, F.col("l_quantity"))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert rows and all((r.total is None) == (r.code <= 5) == (r.spread is None) for r in rows)
+
+
 def test_read_trade_csv(spark, tmp_path):
     cols = [c.split()[0].strip("`") for c in tables.TRADE.split(", ")]
     row = dict(zip(cols, ["000001", "x", 20220819, 93000000, 1660872600000000, 0, 1, 12.5, 100.0, 1250.0, 66, "a", "b", 5, 6]))

@@ -108,7 +108,8 @@ add("run_factor_pipeline_resume", _resumed, f"WITH {_PANEL} SELECT date, code, (
 
 
 def _spread(p) -> list:
-    return [p.volume.sum(), p.volume.max() - p.volume.min()]
+    v = p.known("volume")
+    return [v.sum(), v.max() - v.min()] if len(v) else [None, None]
 
 
 for _name, _keys in (("run_factor_pipeline", ["day", "code"]), ("run_factor_pipeline_v6", ["day", "code"]), ("run_factor_pipeline_minute", ["day"]), ("run_factor_pipeline_cross_section", ["day"])):

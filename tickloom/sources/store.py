@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,11 +119,81 @@ def run_tasks(tasks: DataFrame, function: Callable, names: list[str], path: str
     return spark.read.parquet(path)
 
 
-def run_groups(df: DataFrame, keys: list[str], function: Callable[[pd.DataFrame], list], names: list[str]) -> DataFrame:
-    """function(rows of a key) -> a float for each of `names`: a factor pipeline by (date, code), by date, or by code. A group is one task's."""
+class Group:
+    """The rows of a key: a column is a numpy array, by attribute or [name], its nulls NaN (NaT for times, None for objects)."""
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *map(float, function(p)))], columns=[*keys, *names])
+    __slots__ = ("_columns", "_here", "_valid")
 
+    def __init__(self, columns: dict, valid: dict, start: int, end: int):
+        self._columns, self._valid, self._here = columns, valid, slice(start, end)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self._columns[name][self._here]
+
+    def __getattr__(self, name: str) -> np.ndarray:
+        try:
+            return self._columns[name][self._here]
+        except KeyError:
+            raise AttributeError(name) from None
+
+    def __len__(self) -> int:
+        return self._here.stop - self._here.start
+
+    def known(self, name: str) -> np.ndarray:
+        """A column without its nulls; its own NaN stay."""
+        return self[name][self._valid[name][self._here]] if name in self._valid else self[name]
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({c: v[self._here] for c, v in self._columns.items()})
+
+
+def _starts(t: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows whose key differs from the row before; nulls are equal, and so are NaN."""
+    new = np.zeros(max(0, t.num_rows - 1), bool)
+    for k in keys:
+        c = t.column(k)
+        a, b = c[:-1], c[1:]
+        differ = pc.fill_null(pc.not_equal(a, b), False)
+        if pa.types.is_floating(c.type):
+            differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+        for x in (differ, pc.not_equal(pc.is_null(a), pc.is_null(b))):
+            new |= x.to_numpy(zero_copy_only=False) if isinstance(x, pa.Array) else x.to_numpy()
+    return np.flatnonzero(new) + 1
+
+
+def run_groups(df: DataFrame, keys: list[str], function: Callable[[Group], list], names: list[str]) -> DataFrame:
+    """function(rows of a key) -> a float or None for each of `names`: a factor pipeline by (date, code), by date, or by code.
+
+    Rows are dealt and sorted by key, and Python cuts the groups out of the batches: small groups cost
+    a call of `function`, not a pass of Spark. A group is one task's, and lies whole in its memory.
+    """
     kinds = dict(df.dtypes)
-    return df.groupBy(*keys).applyInPandas(run, ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` double" for n in names]))
+
+    def results(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        starts = [0, *_starts(t, keys).tolist()]
+        columns = {c: t.column(c).to_numpy() for c in t.column_names}
+        valid = {c: t.column(c).is_valid().to_numpy() for c in t.column_names if t.column(c).null_count}
+        found = [function(Group(columns, valid, a, b)) for a, b in zip(starts, [*starts[1:], t.num_rows])]
+        values = [pa.array([None if v is None else float(v) for v in x], pa.float64()) for x in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([*(t.column(k).take(pa.array(starts)).combine_chunks() for k in keys), *values], [*keys, *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of a group whose end is not read yet
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held and len(_starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)]), keys)):
+                yield results(held)
+                held = []
+            last = int(max(_starts(b, keys), default=0))
+            if last:
+                yield results([*held, b.slice(0, last)])
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield results(held)
+
+    exact = [(F.col(k) + F.lit(0).cast(kinds[k])).alias(k) if k in keys and kinds[k] in ("float", "double") else F.col(k) for k in df.columns]  # -0.0 is 0.0
+    schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` double" for n in names])
+    return df.select(*exact).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
