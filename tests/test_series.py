@@ -126,7 +126,7 @@ def test_groups_across_batches(spark):
     assert got == sorted(map(repr, map(tuple, want.collect()))) and len(got) == 12
 
 
-@pytest.mark.parametrize("name", ["run_factor_pipeline"])
+@pytest.mark.parametrize("name", ["run_factor_pipeline", "run_factor_pipeline_v6"])
 def test_pipelines_batch_small_groups(spark, tmp_path, name):
     """Groups of a task reach Python together, not one by one; a group without a value is null, as in SQL."""
     from tickloom.plans import registry
