@@ -98,6 +98,24 @@ def test_store(spark, tmp_path):
     assert spark.read.parquet(f"{path}-w/f1").where("date = 20220802").first()["2"] == 2021.0
 
 
+def test_export_of_many_codes_by_files_and_row_groups(spark, tmp_path):
+    """No column is lost, whatever the codes' type; a code or a date that is null, a value that is null or NaN, and dates over several files."""
+    rows = []
+    for d in (1, 2, 3, 4, 6, None):
+        for i, c in enumerate((None, *(f"c{k}" for k in range(3000)))):
+            if i % 3 or d == 1:
+                rows.append((d, c, None if c == "c7" else float("nan") if d == 3 else (d or 9) * 10000.0 + i))
+    path = f"{tmp_path}/s"
+    store.write(spark.createDataFrame(rows, "date int, code string, f double"), path)
+    assert store.export(spark, path, f"{tmp_path}/w", cells=7000) == 1
+    out = spark.read.parquet(f"{tmp_path}/w/f")
+    assert sorted(out.columns) == sorted(["date", "null", *(f"c{k}" for k in range(3000))]) and len(out.inputFiles()) > 1
+    got = out.toArrow().to_pylist()
+    want = {(d, str(c) if c else "null"): v for d, c, v in rows}
+    assert sorted(map(repr, (r["date"] for r in got))) == sorted(map(repr, (1, 2, 3, 4, 6, None)))
+    assert all(repr(v) == repr(want.get((r["date"], c))) for r in got for c, v in r.items() if c != "date")
+
+
 def test_tasks_resume_and_survive_errors(spark, tmp_path):
     tasks = spark.createDataFrame([(d, c) for d in (1, 2) for c in (3, 4)], "date int, code int")
     path = f"{tmp_path}/t"

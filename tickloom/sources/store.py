@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 KEYS = ["date", "code"]
+#: Values of a row group and of a file of an exported table, about.
+CELLS = 8_000_000
 
 
 def write(df: DataFrame, path: str, mode: str = "append", compression: str = "snappy") -> None:
@@ -58,17 +66,78 @@ def template(spark: SparkSession, path: str) -> DataFrame:
     return book.select("kind", F.when(F.col("kind") == "code", stock("value")).otherwise(F.col("value")).alias("value"))
 
 
-def wide(df: DataFrame, factor: str, codes: list) -> DataFrame:
-    """A row a date, a column a code, of one factor."""
-    return df.groupBy("date").pivot("code", codes).agg(F.first(factor))
-
-
-def export(spark: SparkSession, path: str, out: str, names: list[str] | None = None) -> int:
-    """A wide Parquet table for each factor, under `out`; their number. Codes become columns, so the driver lists them."""
+def _new_folder(spark: SparkSession, path: str) -> str:
+    """The path in full, as executors name it; what lay there is gone."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hpath, True)
+    fs.mkdirs(hpath)
+    uri = fs.makeQualified(hpath).toString()
+    return f"file://{uri.removeprefix('file:')}" if re.match("file:/[^/]", uri) else uri
+
+
+def _write_wide(batches: Iterator[pa.RecordBatch], out: str, codes: pa.Array, schema: pa.Schema, cells: int) -> tuple[str, int] | None:
+    """(date, code, value) rows sorted by date as a Parquet file under `out`, a column a code: its path and rows. Only task 0 writes a file without rows."""
+    fs, top = pafs.FileSystem.from_uri(out)
+    task, most = TaskContext.get().partitionId(), max(1, cells // max(1, len(codes)))
+    path, temp = f"{top}/part-{task:05d}.parquet", f"{top}/_{uuid.uuid4().hex}"
+    held: list[pa.RecordBatch] = []
+    writer, n, days = None, 0, 0
+
+    def flush() -> int:
+        t = pa.Table.from_batches(held).combine_chunks()
+        starts = np.array([0, *_starts(t, ["date"])][: t.num_rows])
+        day = np.repeat(np.arange(len(starts)), np.diff([*starts, t.num_rows]))
+        for a in range(0, len(starts), most):
+            here = np.flatnonzero((day >= a) & (day < a + most))
+            rows = min(most, len(starts) - a)
+            at = np.full((len(codes), rows), -1)
+            at[pc.index_in(t.column("code").take(pa.array(here)), codes).to_numpy(), day[here] - a] = here
+            values = pa.array(at.ravel(), mask=at.ravel() < 0)
+            values = t.column("value").take(values).combine_chunks()
+            dates = t.column("date").take(pa.array(starts[a : a + rows])).cast(schema.field(0).type)
+            writer.write_table(pa.Table.from_arrays([dates, *(values.slice(k * rows, rows) for k in range(len(codes)))], schema=schema))
+        return len(starts)
+
+    for whole in _whole(batches, ["date"]):
+        if writer is None:
+            writer = pq.ParquetWriter(temp, schema, filesystem=fs, use_dictionary=False, write_statistics=False, store_schema=False)
+        held += whole
+        days += 1 + sum(len(_starts(b, ["date"])) for b in whole)  # at least as many as there are
+        if days >= most:
+            n, held, days = n + flush(), [], 0
+    if held:
+        n += flush()
+    if writer is None:
+        if task:
+            return None
+        writer = pq.ParquetWriter(temp, schema, filesystem=fs, store_schema=False)
+    writer.close()
+    fs.move(temp, path)
+    return path, n
+
+
+def export(spark: SparkSession, path: str, out: str, names: list[str] | None = None, cells: int = CELLS) -> int:
+    """A wide Parquet table for each factor, under `out`: a row a date, a column a code; their number.
+
+    Codes become columns, so the driver lists them. Tasks write the files by pyarrow, as Spark's plans and
+    writer need minutes and a heap for tens of thousands of columns; `out` must be a place that pyarrow
+    reaches from executors (a shared folder, HDFS, an object store). A key stored twice gives one of its values.
+    """
     df = spark.read.parquet(path)
-    codes = sorted(r.code for r in df.select("code").distinct().collect())
+    codes = sorted((r.code for r in df.select("code").distinct().collect()), key=lambda c: (c is None, c))
+    parts = max(1, -(-df.select("date").distinct().count() * len(codes) // cells))
+    kinds = to_arrow_schema(df.schema)
+    columns = pa.array(codes, kinds.field("code").type)
     for n in names or factors(df):
-        wide(df, n, codes).write.mode("overwrite").parquet(f"{out}/{n}")
+        folder = _new_folder(spark, f"{out}/{n}")
+        schema = pa.schema([pa.field("date", kinds.field("date").type), *(pa.field("null" if c is None else str(c), kinds.field(n).type) for c in codes)])
+
+        def run(batches: Iterator[pa.RecordBatch], at: tuple = (folder, columns, schema, cells)) -> Iterator[pa.RecordBatch]:
+            if done := _write_wide(batches, *at):
+                yield pa.RecordBatch.from_pydict({"path": [done[0]], "n": [done[1]]})
+
+        df.select("date", "code", F.col(n).alias("value")).repartition(parts, "date").sortWithinPartitions("date").mapInArrow(run, "path string, n long").collect()
     return len(names or factors(df))
 
 
@@ -161,6 +230,24 @@ def _starts(t: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of rows sorted by key, cut so that each list holds whole groups."""
+    held: list[pa.RecordBatch] = []  # of a group whose end is not read yet
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and len(_starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)]), keys)):
+            yield held
+            held = []
+        last = int(max(_starts(b, keys), default=0))
+        if last:
+            yield [*held, b.slice(0, last)]
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield held
+
+
 def run_groups(df: DataFrame, keys: list[str], function: Callable[[Group], list], names: list[str]) -> DataFrame:
     """function(rows of a key) -> a float or None for each of `names`: a factor pipeline by (date, code), by date, or by code.
 
@@ -179,20 +266,7 @@ def run_groups(df: DataFrame, keys: list[str], function: Callable[[Group], list]
         return pa.RecordBatch.from_arrays([*(t.column(k).take(pa.array(starts)).combine_chunks() for k in keys), *values], [*keys, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of a group whose end is not read yet
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if held and len(_starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)]), keys)):
-                yield results(held)
-                held = []
-            last = int(max(_starts(b, keys), default=0))
-            if last:
-                yield results([*held, b.slice(0, last)])
-                held = []
-            held.append(b.slice(last))
-        if held:
-            yield results(held)
+        yield from map(results, _whole(batches, keys))
 
     exact = [(F.col(k) + F.lit(0).cast(kinds[k])).alias(k) if k in keys and kinds[k] in ("float", "double") else F.col(k) for k in df.columns]  # -0.0 is 0.0
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` double" for n in names])
