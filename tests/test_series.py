@@ -144,6 +144,38 @@ def test_groups_across_batches(spark):
     assert got == sorted(map(repr, map(tuple, want.collect()))) and len(got) == 12
 
 
+@pytest.mark.parametrize("together", [False, True])
+def test_groups_of_one_hash_and_groups_together(spark, together):
+    """Keys with nulls swapped have one hash and lie mixed; values are null, NaN, infinite, -0.0 or absent, in groups of a few rows and of several batches."""
+    from tickloom.plans.store_queries import _spread, _spreads
+
+    keys = [(5, None), (None, 5), (6, 7), (7, 6), (None, None), (8, 8), (9, 9)]
+    odd = {(9, 9): -0.0, (6, 7): float("nan"), (7, 6): None, (8, 8): float("inf")}
+    rows = [(k, c, odd.get((k, c), 0.5 * i) if i % 3 or c == 9 else None if i % 2 else float(i)) for i in range(24) for k, c in keys] + [(100 + i, None, None if i % 2 else 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, c int, volume double").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = store.run_groups(df, ["k", "c"], _spreads if together else _spread, ["total", "spread"], together)
+        got = sorted(map(repr, map(tuple, out.collect())))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = df.groupBy("k", "c").agg(F.sum("volume"), F.max("volume") - F.min("volume"))
+    assert got == sorted(map(repr, map(tuple, want.collect()))) and len(got) == 47
+
+
+def test_pipeline_v6_takes_groups_together(spark, tmp_path, monkeypatch):
+    """Small groups cost no call each, and Spark sorts rows by one number."""
+    from tickloom.plans import registry
+
+    n = store.run_groups(spark.range(100).repartition(1), ["id"], lambda p: [np.full(len(p), len(p))], ["n"], True)
+    assert n.count() == 100 and n.agg(F.max("n")).first()[0] > 10
+    calls = []
+    monkeypatch.setattr(store, "run_groups", lambda *a, f=store.run_groups: calls.append(a) or f(*a))
+    spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(500).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = registry.QUERIES["run_factor_pipeline_v6"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert calls[0][-1] is True and "Sort [_hash" in plan and plan.count("Sort [") == 1
+
+
 @pytest.mark.parametrize("name", ["run_factor_pipeline", "run_factor_pipeline_v6"])
 def test_pipelines_batch_small_groups(spark, tmp_path, name):
     """Groups of a task reach Python together, not one by one; a group without a value is null, as in SQL."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,6 +113,11 @@ def _spread(p) -> list:
     return [v.sum(), v.max() - v.min()] if len(v) else [None, None]
 
 
-for _name, _keys in (("run_factor_pipeline", ["day", "code"]), ("run_factor_pipeline_v6", ["day", "code"]), ("run_factor_pipeline_minute", ["day"]), ("run_factor_pipeline_cross_section", ["day"])):
-    add(_name, lambda t, k=_keys: store.run_groups(t("trades").select(F.trunc("ts", "month").alias("day"), "code", "volume"), k, _spread, ["total", "spread"]),
+def _spreads(p) -> list:
+    """_spread of many groups; a sum of -0.0 is 0.0."""
+    return [p.reduce(np.add, "volume") + 0, p.reduce(np.maximum, "volume") - p.reduce(np.minimum, "volume")]
+
+
+for _name, _keys, _how in (("run_factor_pipeline", ["day", "code"], _spread), ("run_factor_pipeline_v6", ["day", "code"], _spreads), ("run_factor_pipeline_minute", ["day"], _spread), ("run_factor_pipeline_cross_section", ["day"], _spread)):
+    add(_name, lambda t, k=_keys, f=_how: store.run_groups(t("trades").select(F.trunc("ts", "month").alias("day"), "code", "volume"), k, f, ["total", "spread"], f is _spreads),
         f"WITH {_TRADES} SELECT {', '.join(c.replace('day', 'date_trunc($$month$$, ts)::DATE AS day') for c in _keys)}, sum(volume) AS total, max(volume) - min(volume) AS spread FROM trades GROUP BY ALL".replace("$$", "'"))

@@ -230,6 +230,31 @@ def _starts(t: pa.RecordBatch | pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new) + 1
 
 
+class Groups:
+    """Many groups at once, for functions by column: `columns` are numpy arrays, and group i begins at starts[i]."""
+
+    __slots__ = ("_valid", "columns", "starts")
+
+    def __init__(self, columns: dict, valid: dict, starts: np.ndarray):
+        self.columns, self._valid, self.starts = columns, valid, starts
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def reduce(self, ufunc: np.ufunc, name: str) -> np.ma.MaskedArray:
+        """ufunc (np.add, np.maximum) over the known values of a column, for each group; masked where there is none."""
+        v = self.columns[name]
+        if name not in self._valid:
+            return np.ma.array(ufunc.reduceat(v, self.starts))
+        known = self._valid[name]
+        n = np.add.reduceat(known, self.starts, dtype=np.int64)
+        some = n > 0
+        out = np.ma.masked_all(len(n), v.dtype)
+        if some.any():
+            out[some] = ufunc.reduceat(v[known], (np.cumsum(n) - n)[some])
+        return out
+
+
 def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
     """Batches of rows sorted by key, cut so that each list holds whole groups."""
     held: list[pa.RecordBatch] = []  # of a group whose end is not read yet
@@ -239,7 +264,7 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[
         if held and len(_starts(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)]), keys)):
             yield held
             held = []
-        last = int(max(_starts(b, keys), default=0))
+        last = int(_starts(b, keys)[-1:].sum())
         if last:
             yield [*held, b.slice(0, last)]
             held = []
@@ -248,26 +273,38 @@ def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[
         yield held
 
 
-def run_groups(df: DataFrame, keys: list[str], function: Callable[[Group], list], names: list[str]) -> DataFrame:
+def run_groups(df: DataFrame, keys: list[str], function: Callable[[Group], list] | Callable[[Groups], list], names: list[str], together: bool = False) -> DataFrame:
     """function(rows of a key) -> a float or None for each of `names`: a factor pipeline by (date, code), by date, or by code.
 
-    Rows are dealt and sorted by key, and Python cuts the groups out of the batches: small groups cost
-    a call of `function`, not a pass of Spark. A group is one task's, and lies whole in its memory.
+    Rows are dealt by key and sorted by its hash, a number, which Spark does without comparing rows;
+    Python cuts the groups out of the batches: small groups cost a call of `function`, not a pass of
+    Spark. If `together`, it gets `Groups` and returns an array for each of `names`, masked where null:
+    small groups cost no call either. A group is one task's, and lies whole in its memory.
     """
     kinds = dict(df.dtypes)
+    mark = next(c for c in (f"_hash{i}" for i in range(len(df.columns) + 1)) if c not in {x.lower() for x in df.columns})
 
     def results(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        starts = [0, *_starts(t, keys).tolist()]
+        starts = _starts(t, keys)
+        if len(starts) != len(_starts(t, [mark])):  # keys of one hash, whose rows may alternate
+            t = t.sort_by([(k, "ascending") for k in keys]).combine_chunks()
+            starts = _starts(t, keys)
+        t, starts = t.drop_columns([mark]), np.concatenate([[0], starts])
         columns = {c: t.column(c).to_numpy() for c in t.column_names}
         valid = {c: t.column(c).is_valid().to_numpy() for c in t.column_names if t.column(c).null_count}
-        found = [function(Group(columns, valid, a, b)) for a, b in zip(starts, [*starts[1:], t.num_rows])]
-        values = [pa.array([None if v is None else float(v) for v in x], pa.float64()) for x in zip(*found, strict=True)]
+        if together:
+            found = function(Groups(columns, valid, starts))
+            values = [pa.array(np.asarray(np.ma.getdata(v), float), mask=np.ma.getmaskarray(v)) for v in found]
+        else:
+            ends = [*starts[1:].tolist(), t.num_rows]
+            found = [function(Group(columns, valid, a, b)) for a, b in zip(starts.tolist(), ends)]
+            values = [pa.array([None if v is None else float(v) for v in x], pa.float64()) for x in zip(*found, strict=True)]
         return pa.RecordBatch.from_arrays([*(t.column(k).take(pa.array(starts)).combine_chunks() for k in keys), *values], [*keys, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from map(results, _whole(batches, keys))
+        yield from map(results, _whole(batches, [mark]))
 
     exact = [(F.col(k) + F.lit(0).cast(kinds[k])).alias(k) if k in keys and kinds[k] in ("float", "double") else F.col(k) for k in df.columns]  # -0.0 is 0.0
     schema = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` double" for n in names])
-    return df.select(*exact).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.select(*exact).repartition(*keys).withColumn(mark, F.xxhash64(*keys)).sortWithinPartitions(mark).mapInArrow(run, schema)
