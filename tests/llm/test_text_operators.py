@@ -1,10 +1,12 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -209,6 +211,50 @@ def test_chunked_encoding(text):
         assert enc.encode([text.encode()])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_encoding_costs_no_call_a_chunk():
+    public = pytest.importorskip("public_tokenizers")
+    enc = packing.Encoder(public.path("word_bpe_49k.json"))
+    stems = [a + b + c for a in ("ta", "né", "or") for b in ("lin", "su", "ßa") for c in ("", "et", "ão")]
+    marks = [a + b for a in ("", "(", '"', "[", "-", "$", "¡") for b in ("", ".", ",", ";", ":", "!", "?", ")", "...", "'s", "'LL", "-", "%", "***")]
+    chunks = [m.replace("'", f"{w}'") if "'" in m else m[:1] + w + m[1:] for w in [f(t) for t in stems for f in (str, str.title, str.upper)] for m in marks]
+    text, calls = "\n".join(chunks), 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        got = enc.encode([text.encode()])[0]
+    finally:
+        sys.setprofile(None)
+    assert got.tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert calls < len(set(chunks)) / 2
+
+
+def test_encoding_of_every_plain_letter_and_mark():
+    public = pytest.importorskip("public_tokenizers")
+    enc, r = packing.Encoder(public.path("word_bpe_49k.json")), np.random.default_rng(3)
+    odd = ["'", "'s", "'S", "'ll", "'Re", "'ve", "'d", "'m", "'t", "'l", "'v", " ", "\n", "\x0b", "\x1c", "a", "É", "1", "²", ".", "<", "|", "<|endoftext|>", "日", "\u0301", "Ⱥ", "ﬁ", "Σ"]
+    texts = [f"ab{chr(c)}Cd{chr(c)}{chr(c)}1{chr(c)}'s {chr(c)}" for c in range(0x300)] + ["".join(r.choice(odd, int(r.integers(0, 12)))) for _ in range(2000)]
+    for text, ids in zip(texts, enc.encode([t.encode() for t in texts])):
+        assert ids.tolist() == enc.tok.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("group", [1, 300, 1 << 30])
+def test_pieces_of_groups(texts, group, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(packing, "GROUP", group)
+    path = public.path("word_bpe_49k.json")
+    few = [*texts[:40], None, "", " \n", "x " * 200]
+    batch = pa.record_batch([pa.array([None, *range(1, len(few))], pa.int64()), pa.array([t and t.encode() for t in few], pa.binary())], names=["doc_id", "text"])
+    want = []
+    for i, t in enumerate(few):
+        ids = np.array([*packing._encoder(path).tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want += [(i or None, s, len(ids[s : s + 16]), zlib.crc32(ids[s : s + 16].tobytes()), len(ids)) for s in range(0, len(ids), 16)]
+    assert [tuple(r.values()) for b in packing._cut(path, 16, 2)([batch, batch.slice(0, 0)]) for r in b.to_pylist()] == want
+
+
 def test_mixing(docs, empty, monkeypatch):
     monkeypatch.setattr(mixing, "SLOT", 7)
     got = mixing.in_order(mixing.schedule(docs)).collect()

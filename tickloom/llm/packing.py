@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -18,76 +18,123 @@ from . import common
 WINDOW, END = 4096, 2
 #: Pieces that one task packs; more pieces mean more tasks, not larger ones.
 SHARD = 1 << 15
-_OTHER = regex.compile(r"[^!-~\xa1-įı-ɏ]")  # U+0130 lower-cases to two characters
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Bytes of text, and one text more, that a task encodes at once.
+GROUP = 8_000_000
+#: Code points of plain chunks lie below this, in two bytes at most.
+_PLAIN = 0x250
+_LETTER, _DIGIT, _MARK = 1, 2, 3
+_CLASSES = (_LETTER, regex.compile(r"\p{L}")), (_DIGIT, regex.compile(r"\p{N}")), (_MARK, regex.compile(r"[^\s\p{L}\p{N}\p{C}]|\xad"))
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The characters by which byte-level tokenizers write bytes.
+_BYTES = dict(zip(sorted(set(range(256)).difference(_VISIBLE)), range(256, 512)))
+
+
+def _buffers(a: pa.Array, offset: type, kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    """Where the strings of an array that is no slice start, with the end, and what they hold."""
+    if not len(a):
+        return np.zeros(1, np.int64), np.zeros(0, kind)
+    at = np.frombuffer(a.buffers()[1], offset)[: len(a) + 1].astype(np.int64, copy=False)
+    return at, np.frombuffer(a.buffers()[2] or b"", np.uint8)[: at[-1]].view(kind)
 
 
 class Encoder:
-    """The ids of whole texts, by the public tokenizer, with a bounded memory of chunks seen.
+    """The ids of whole texts, by the public tokenizer, with a bounded memory of pieces seen.
 
     White space ends a token in this vocabulary, so a text's ids are those of its chunks, one
-    after another. Chunks of plain Latin letters, digits and marks are cut into the
-    tokenizer's own pieces, and all new pieces of a batch are encoded in one call; the last
-    token of a piece, and only that, carries the end-of-word suffix. Other chunks (other
-    scripts, control characters, special-token strings) are encoded as they are.
+    after another. Distinct chunks of plain Latin letters, digits and marks are lower-cased and cut
+    into the tokenizer's own pieces, all at once over their bytes; the tokenizer's model encodes
+    distinct pieces that are not remembered. Other chunks (other scripts, control characters,
+    special-token strings) are pieces as they are, which the whole tokenizer encodes.
     """
 
-    def __init__(self, path: str, chunks: int = 400_000, pieces: int = 700_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, chunks: int = 700_000, held: int = 1 << 26):
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.pieces_tok = Tokenizer.from_file(path)  # for pieces, which are cut and lower-cased already
-        self.pieces_tok.normalizer = None
-        self.pieces_tok.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.kind = np.dtype("<u2" if max(vocab.values()) < 65536 else "<u4")
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks: dict[bytes, bytes] = {}
+        self.model = self.tok.model
+        self.kind = np.dtype("<u2" if max(self.tok.get_vocab(with_added_tokens=True).values()) < 65536 else "<u4")
+        self.lower, self.classes = np.zeros(_PLAIN, np.uint16), np.zeros(_PLAIN, np.uint8)
+        for c in range(0x21, _PLAIN):
+            low = self.tok.normalizer.normalize_str(chr(c))
+            if len(low) == 1 and ord(low) < _PLAIN and (c < 0x80) == (ord(low) < 0x80):
+                self.lower[c] = ord(low)
+                self.classes[c] = next((k for k, found in _CLASSES if found.match(low)), 0)
         self.pieces: dict[bytes, bytes] = {}
-        self.most = chunks, pieces
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.pieces) > self.most[1]:
+        self.held, self.most = 0, (chunks, held)
+
+    def _cut(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of chunks (their bytes, where each starts, and the end): bytes in lower case, where pieces start, which bytes belong to other chunks."""
+        n = len(data)
+        d = np.concatenate((data, np.zeros(3, np.uint8)))
+        code = d.astype(np.uint16)
+        two = np.flatnonzero((d >= 0xC2) & (d <= 0xC9))
+        code[two] = (d[two] & np.uint16(31)) << 6 | (d[two + 1] & 63)
+        code[two + 1] = code[two]
+        inner, wide = np.zeros(n + 3, bool), d >= 0x80
+        inner[two + 1] = True
+        wide[two] = wide[two + 1] = False
+        code[wide | (code >= _PLAIN)] = 0
+        kind = self.classes[code]
+        strange = kind == 0
+        strange[: n + 1] |= (d[: n + 1] == ord("<")) & (d[1 : n + 2] == ord("|"))
+        sums = np.concatenate(([0], np.cumsum(strange[:n])))
+        other = np.repeat(np.diff(sums[at]) > 0, np.diff(at))
+        low = self.lower[code]
+        text = np.where(low < 0x80, low, np.where(inner, low & 63 | 0x80, low >> 6 | 0xC0)).astype(np.uint8)[:n]
+        text[other] = data[other]
+        new = np.zeros(n + 4, bool)
+        new[1 : n + 3] = kind[1:] != kind[:-1]
+        new[: n + 3] |= (kind == _DIGIT) & ~inner
+        new[:n][other] = False
+        new[at] = True
+        quote = np.flatnonzero(new[:n] & (text == ord("'")) & ~other)
+        one, after = low[quote + 1], low[quote + 2]
+        end = at[np.searchsorted(at, quote, "right")]
+        size = np.where(np.isin(one, list(b"stmd")), 2, np.where((one == ord("l")) & (after == ord("l")) | np.isin(one, list(b"rv")) & (after == ord("e")), 3, 0))
+        short = (size > 0) & (quote + size <= end)
+        quote, size = quote[short], size[short]
+        new[quote + 1] = False
+        new[quote + size] = True
+        return text, np.flatnonzero(new[:n]), other
+
+    def _learn(self, pieces: list[bytes], other: np.ndarray) -> None:
+        if len(self.pieces) > self.most[0] or self.held > self.most[1]:
             self.pieces.clear()
-        plain, ended, cut = [], [], []
-        for c in new:
-            if c.isalpha():  # of bytes: ASCII letters only
-                plain.append((c, c.lower()))
-            elif c[:-1].isalpha() and c[-1:] in (b".", b","):
-                ended.append((c, c[:-1].lower(), c[-1:]))
-            else:
-                text = c.decode()
-                if _OTHER.search(text) or "<|" in text:
-                    self.chunks[c] = self._bytes(text)
+            self.held = 0
+        code, seen, tokenize = "HI"[self.kind.itemsize // 4], self.pieces, self.model.tokenize
+        for i, p in enumerate(pieces):
+            if p not in seen:
+                if other[i]:
+                    ids = self.tok.encode(p.decode(), add_special_tokens=False).ids
                 else:
-                    cut.append((c, [text.lower().encode()] if text.isalpha() else [p.encode() for p in _PIECES.findall(text.lower())]))
-        unseen = {p for _, p in plain}.union((p for _, p, _ in ended), (p for _, _, p in ended), *(ps for _, ps in cut))
-        unseen = list(unseen.difference(self.pieces))
-        for i in range(0, len(unseen), 4096):
-            part = unseen[i : i + 4096]
-            ids = np.array(self.pieces_tok.encode(b" ".join(part).decode(), add_special_tokens=False).ids, self.kind)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(part):
-                whole, stops = ids.tobytes(), (stops * self.kind.itemsize).tolist()
-                self.pieces.update((p, whole[a:b]) for p, a, b in zip(part, [0, *stops], stops))
-            else:
-                self.pieces.update((p, self._bytes(p.decode())) for p in part)
-        seen = self.pieces
-        self.chunks.update((c, seen[p]) for c, p in plain)
-        self.chunks.update((c, seen[p] + seen[q]) for c, p, q in ended)
-        self.chunks.update((c, b"".join([seen[p] for p in ps])) for c, ps in cut)
+                    ids = [t.id for t in tokenize(p.decode() if p.isascii() else p.decode("latin-1").translate(_BYTES))]
+                seen[p] = ids = array(code, ids).tobytes()
+                self.held += len(p) + len(ids)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's start, with the end."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) else "").cast(pa.string()))
+        words = split.values.dictionary_encode()
+        chunks = words.dictionary
+        at, data = _buffers(chunks, np.int32, np.uint8)
+        text, new, other = self._cut(data, at)
+        starts = np.append(new, len(text))
+        found = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(text)]).dictionary_encode()
+        codes = found.indices.to_numpy()
+        whole = np.zeros(len(found.dictionary), bool)
+        whole[codes[other[new]]] = True
+        pieces = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self._learn(pieces, whole)
+        known = pa.array([self.pieces[p] for p in pieces], pa.large_binary())
+        cut = known.take(found.indices)
+        ends, data = _buffers(cut, np.int64, np.uint8)
+        known = pa.Array.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(ends[np.searchsorted(new, at)]), pa.py_buffer(data)])
+        ends, ids = _buffers(known.take(words.indices), np.int64, self.kind)
+        return ids, ends[split.offsets.to_numpy()] // self.kind.itemsize
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.chunks) > self.most[0]:
-            self.chunks.clear()
-        split = [t.split() for t in texts]
-        self._learn(set(filterfalse(self.chunks.__contains__, chain.from_iterable(split))))
-        get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), self.kind) for words in split]
+        ids, at = self.ids(pa.array(texts, pa.binary()))
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -103,18 +150,25 @@ def _cut(path: str, window: int, end: int):
             at, lengths = 0, pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist()
             while at < b.num_rows:
                 size, to = 0, at
-                while to < b.num_rows and size < 2_000_000 and to - at < 1000:
+                while to < b.num_rows and size < GROUP:
                     size += lengths[to]
                     to += 1
                 part = b.slice(at, to - at)
                 at = to
-                rows = []
-                for doc, ids in zip(part.column("doc_id").to_pylist(), enc.encode([t or b"" for t in part.column("text").to_pylist()])):
-                    whole = np.append(ids, end).astype("<u4")
-                    for s in range(0, len(whole), window):
-                        piece = whole[s : s + window]
-                        rows.append((doc, s, len(piece), zlib.crc32(piece.tobytes()), len(whole)))
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                ids, starts = enc.ids(part.column("text"))
+                tokens = np.diff(starts) + 1
+                ends = starts[1:] + np.arange(len(tokens))
+                whole = np.empty(len(ids) + len(ends), "<u4")
+                own = np.ones(len(whole), bool)
+                own[ends] = False
+                whole[own], whole[ends] = ids, end
+                of = np.repeat(np.arange(len(tokens)), -(-tokens // window))
+                start = (np.arange(len(of)) - np.searchsorted(of, of)) * window
+                length = np.minimum(tokens[of] - start, window)
+                first = ends[of] + 1 - tokens[of] + start
+                crc = [zlib.crc32(whole[a:z]) for a, z in zip(first.tolist(), (first + length).tolist())]
+                columns = [part.column("doc_id").cast(pa.int64()).take(pa.array(of)), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens[of]))]
+                yield pa.record_batch(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 
